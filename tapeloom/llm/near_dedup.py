@@ -218,10 +218,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     first = components(links)
     members = multi.join(first, "id", "left").select("key", "id", "c", F.coalesce("comp", "id").alias("comp"))
     # three or more members in several components; of buckets with the same members, one
-    open_ = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who")).where("m > 2 and lo < hi")
-    open_ = open_.groupBy("m", "who").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    dealt = members.join(open_, "key").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    dealt = dealt.select("key", "id", "comp", "mine", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    by_comp = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"))
+    open_ = by_comp.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("m"), F.count("*").alias("comps"), F.sum("who").alias("who")).where("m > 2 and comps > 1")
+    open_ = open_.groupBy("m", "who").agg(F.min(F.struct("key", "main")).alias("x")).select("x.key", "x.main.comp", F.col("x.main.n").alias("n"), "m")
+    # members of the bucket's largest component are compared with the others only: those are tiles 0, 1, ..., these -1, -2, ...
+    open_ = open_.select("key", F.col("comp").alias("main"), F.ceil(F.col("n") / TILE).cast("int").alias("mains"), F.ceil((F.col("m") - F.col("n")) / TILE).cast("int").alias("rests"))
+    in_main = F.col("comp") == F.col("main")
+    dealt = members.join(open_, "key").withColumn("mine", F.when(in_main, -1 - F.pmod(F.xxhash64("id"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("id"), F.col("rests"))).cast("int"))
+    others = F.sequence(F.when(in_main, F.lit(0)).otherwise(-F.col("mains")), F.col("rests") - 1)
+    dealt = dealt.select("key", "id", "comp", "mine", F.explode(others).alias("other"))
     tiles = dealt.select("key", "id", "comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
     more = tiles.join(texts, "id").groupBy("key", "i", "j").applyInArrow(_tile_links(k, percent), "a long, b long").distinct()
     more = written(more, "links")

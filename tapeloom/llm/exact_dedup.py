@@ -194,6 +194,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that own their text, one for each distinct normalised text, with the columns of `docs`."""
+    text = F.translate(text_of(docs, text_col), WS, "")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), docs[id_col].cast("long").alias("id"), F.char_length(text).cast("long").alias("norm_len"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha"))
+    own = rows.join(owners(docs, id_col, text_col), ["norm_len", "sha"]).where(F.col("id").eqNullSafe(F.col("keep_id")))
+    return own.dropDuplicates(["norm_len", "sha"]).select("row.*")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import exact_dedup, near_dedup
+from tapeloom.llm import exact_dedup, near_dedup, packing, secrets, toxicity
 
-MODULES = (near_dedup, exact_dedup)
+MODULES = (toxicity, near_dedup, exact_dedup, packing, secrets)
 
 
 def queries() -> dict:

@@ -28,11 +28,15 @@ CAPACITY = 2048
 ROUNDS, STEP = 300, 0.5
 
 
+#: ASCII punctuation that doesn't begin a contraction.
+_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+
+
 class WordIds(dict):
     """Token ids (little-endian unsigned 32 bits) of a white-space delimited, ASCII-lower-cased word.
 
     The tokenizer lower-cases, drops white space and never joins what it separates, so the ids of a text
-    are those of its words in turn. Words before a full stop or comma are looked up without it.
+    are those of its words in turn. Punctuation after a word is looked up by itself.
     """
 
     LIMIT = 1_000_000
@@ -49,23 +53,16 @@ class WordIds(dict):
         self.ends = np.zeros(max(vocab.values()) + 3, bool)  # tokens that end a word
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(word) > 1 and word[-1] in b".," and 97 <= word[-2] <= 122:
-            ids = self[word[:-1]] + self[word[-1:]]
-        else:
-            ids = self.whole(word)
-        self[word] = ids
-        return ids
-
     def whole(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = ids = self.whole(word)
+        return ids
+
+    def learn(self, new: list[bytes]) -> None:
         """Looks up new words together: those of letters alone end with the only end token they have."""
-        if len(self) > self.LIMIT:
-            self.clear()
-        new = {w[:-1] if w[-1] in b".," else w for w in words if w not in self}
-        new = [w for w in new if w and w not in self and w.decode().isalpha()]
+        new = [w for w in new if w.decode().isalpha()]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
@@ -75,10 +72,22 @@ class WordIds(dict):
                 self.update(zip(part, [raw[4 * i : 4 * j] for i, j in zip(starts.tolist(), ends.tolist())]))
 
     def of_all(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text; white space is what [\\x20\\x09-\\x0D] holds, a part of what the tokenizer drops."""
+        """Ids of each text; split at white space within [\\x20\\x09-\\x0D], which the tokenizer drops."""
         split = [t.lower().split() if b"<|" not in t else None for t in texts]  # special tokens are matched before lower-casing
-        self.learn(set().union(*filter(None, split)))
-        return [self.whole(t) if w is None else b"".join(map(self.__getitem__, w)) for t, w in zip(texts, split)]
+        if len(self) > self.LIMIT:
+            self.clear()
+        # the words of these texts go to a small table, so that each lookup per word stays in the processor's cache
+        here, stopped = set().union(*filter(None, split)), []
+        for w in here:
+            stem = w.rstrip(_PUNCTUATION)
+            if len(stem) != len(w) and stem[-1:].isalpha():  # punctuation after a letter is a token of its own
+                stopped.append((w, stem, w[len(stem) :]))
+        here.difference_update([w for w, _, _ in stopped])
+        here.update([stem for _, stem, _ in stopped])
+        self.learn(list(here.difference(self)))
+        table = {w: self[w] for w in here}
+        table |= {w: table[stem] + self[tail] for w, stem, tail in stopped}
+        return [self.whole(t) if w is None else b"".join(map(table.__getitem__, w)) for t, w in zip(texts, split)]
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -98,8 +107,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
     words, seen, chunk = token_ids(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
     end = end_id.to_bytes(4, "little")
     for b in batches:
-        for first in range(0, b.num_rows, 500):
-            ids, texts = (b.column(c).slice(first, 500).to_pylist() for c in ("id", "text"))
+        for first in range(0, b.num_rows, 1000):
+            ids, texts = (b.column(c).slice(first, 1000).to_pylist() for c in ("id", "text"))
             rows = []
             for i, tokens in zip(ids, words.of_all(texts)):
                 tokens += end

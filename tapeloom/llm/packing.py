@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from tapeloom.llm.common import documents, text_of, written
 
 CAPACITY = 2048
+#: Bytes of text whose distinct words are looked up together.
+SLICE = 24 << 20
 #: Rounds of multiplicative weights, and their step. The driver's work depends on capacity and rounds, not on the corpus.
 ROUNDS, STEP = 300, 0.5
 
@@ -71,23 +74,37 @@ class WordIds(dict):
                 raw, starts = ids.tobytes(), np.concatenate(([0], ends[:-1]))
                 self.update(zip(part, [raw[4 * i : 4 * j] for i, j in zip(starts.tolist(), ends.tolist())]))
 
-    def of_all(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text; split at white space within [\\x20\\x09-\\x0D], which the tokenizer drops."""
-        split = [t.lower().split() if b"<|" not in t else None for t in texts]  # special tokens are matched before lower-casing
+    def table(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of these distinct words."""
         if len(self) > self.LIMIT:
             self.clear()
-        # the words of these texts go to a small table, so that each lookup per word stays in the processor's cache
-        here, stopped = set().union(*filter(None, split)), []
-        for w in here:
+        parts, stems = [], set()
+        for w in words:
             stem = w.rstrip(_PUNCTUATION)
-            if len(stem) != len(w) and stem[-1:].isalpha():  # punctuation after a letter is a token of its own
-                stopped.append((w, stem, w[len(stem) :]))
-        here.difference_update([w for w, _, _ in stopped])
-        here.update([stem for _, stem, _ in stopped])
-        self.learn(list(here.difference(self)))
-        table = {w: self[w] for w in here}
-        table |= {w: table[stem] + self[tail] for w, stem, tail in stopped}
-        return [self.whole(t) if w is None else b"".join(map(table.__getitem__, w)) for t, w in zip(texts, split)]
+            if len(stem) == len(w) or not stem[-1:].isalpha():  # punctuation after a letter is a token of its own
+                stem = w
+            parts.append(stem)
+            stems.add(stem)
+        self.learn(list(stems.difference(self)))
+        return [self[stem] if len(stem) == len(w) else self[stem] + self[w[len(stem) :]] for w, stem in zip(words, parts)]
+
+    def of_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each of these strings; split at white space within [\\x20\\x09-\\x0D], which the tokenizer drops."""
+        special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)  # special tokens are matched before lower-casing
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        ends, coded = words.offsets.to_numpy(), words.flatten().dictionary_encode()
+        ids, at = self.table(coded.dictionary.cast(pa.binary()).to_pylist()), coded.indices.to_numpy()
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        first, flat = np.cumsum(size, dtype=np.int32) - size, np.frombuffer(b"".join(ids), "<u4")
+        for i in range(0, len(texts), 500):
+            bounds = ends[i : i + 501]
+            w = at[bounds[0] : bounds[-1]]
+            n = size[w]
+            to = np.cumsum(n, dtype=np.int32)
+            tokens = flat[np.repeat(first[w] - to + n, n) + np.arange(n.sum(), dtype=np.int32)].tobytes()
+            cuts = 4 * np.concatenate(([0], to))[bounds - bounds[0]]
+            for k, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+                yield self.whole(texts[i + k].as_py().encode()) if special[i + k] else tokens[lo:hi]
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -107,15 +124,18 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
     words, seen, chunk = token_ids(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
     end = end_id.to_bytes(4, "little")
     for b in batches:
-        for first in range(0, b.num_rows, 1000):
-            ids, texts = (b.column(c).slice(first, 1000).to_pylist() for c in ("id", "text"))
+        if not b.num_rows:
+            continue
+        sizes = np.cumsum(pc.binary_length(b.column("text")).to_numpy()) // SLICE
+        for part in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(sizes)) + 1):
+            ids, texts = (b.column(c).slice(part[0], len(part)) for c in ("id", "text"))
             rows = []
-            for i, tokens in zip(ids, words.of_all(texts)):
+            for i, tokens in zip(ids.to_pylist(), words.of_all(texts)):
                 tokens += end
                 for p, at in enumerate(range(0, len(tokens), 4 * capacity)):
-                    part = tokens[at : at + 4 * capacity]
-                    n = len(part) // 4
-                    rows.append((i, p, at // 4, n, zlib.crc32(part), chunk, int(seen[n])))
+                    piece = tokens[at : at + 4 * capacity]
+                    n = len(piece) // 4
+                    rows.append((i, p, at // 4, n, zlib.crc32(piece), chunk, int(seen[n])))
                     seen[n] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PIECE.types)], schema=_PIECE)
 
@@ -252,7 +272,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     An empty table gives no rows; further columns of `docs` are not looked at.
     """
     spark = docs.sparkSession
-    rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).cast("binary").alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("text"))
     pieces = written(rows.mapInArrow(lambda it: _pieces(it, tokenizer, capacity, end_id), _PIECE_DDL), "pieces")
     by_chunk = written(pieces.groupBy("length", "chunk").agg(F.count("*").alias("n")), "lengths")
     counts = np.zeros(capacity + 1, np.int64)

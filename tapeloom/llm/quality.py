@@ -20,7 +20,7 @@ SYMBOLS = "#*$%&|<>"
 PUNCTUATION = ".,;:!?'\"()-"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: A document of LEAST_JUDGED words or more is rejected beyond one of these distances (0 to 1).
-LEAST_JUDGED, CLASS_DISTANCE, WORD_DISTANCE = 60, 0.35, 0.55
+LEAST_JUDGED, CLASS_DISTANCE, WORD_DISTANCE = 60, 0.28, 0.27
 
 # The most common words of each language; other languages are compared by those of English.
 COMMON_WORDS = {

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import exact_dedup, near_dedup, packing, pii, quality, secrets, toxicity
+from tapeloom.llm import exact_dedup, near_dedup, packing, pii, quality, secrets, toxicity, warc
 
-MODULES = (pii, toxicity, near_dedup, quality, exact_dedup, packing, secrets)
+MODULES = (pii, toxicity, near_dedup, warc, quality, exact_dedup, packing, secrets)
 
 
 def queries() -> dict:

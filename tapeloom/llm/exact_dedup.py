@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import WS, documents, text_of
+from tapeloom.llm.common import WS, documents, free_memory, text_of
 
 #: Bytes of keys a trie holds before it spills a subtree (or, on the map side, hands its rows on).
 TRIE_BYTES = 64 << 20
@@ -159,6 +159,7 @@ def _fold(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBa
                 yield from _batches(trie.items(), True)
                 trie = PatriciaTrie(1 << 62)
     yield from _batches(trie.items(), not last)
+    free_memory()
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import documents, text_of, written
+from tapeloom.llm.common import documents, free_memory, text_of, written
 
 T, ROWS = 128, 4
 BANDS = T // ROWS
@@ -47,7 +47,7 @@ def _offsets(first: int, n: int) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -109,6 +109,8 @@ def _sketched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
                 ends.append(ends[-1] + BANDS * bool(len(s)))
             bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sig, pa.binary()), bands], ["id", "n", "sig", "bands"])
+    _words.clear()  # the worker outlives the task
+    free_memory()
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:

@@ -22,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import documents, text_of, written
+from tapeloom.llm.common import documents, free_memory, text_of, written
 
 CAPACITY = 2048
 #: Bytes of text whose distinct words are looked up together.
-SLICE = 24 << 20
+SLICE = 12 << 20
 #: Rounds of multiplicative weights, and their step. The driver's work depends on capacity and rounds, not on the corpus.
 ROUNDS, STEP = 300, 0.5
 
@@ -42,7 +42,7 @@ class WordIds(dict):
     are those of its words in turn. Punctuation after a word is looked up by itself.
     """
 
-    LIMIT = 1_000_000
+    LIMIT = 450_000
 
     def __init__(self, path: str):
         super().__init__()
@@ -138,6 +138,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
                     rows.append((i, p, at // 4, n, zlib.crc32(piece), chunk, int(seen[n])))
                     seen[n] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PIECE.types)], schema=_PIECE)
+    free_memory()
 
 
 def knapsack(value: np.ndarray, capacity: int) -> np.ndarray:

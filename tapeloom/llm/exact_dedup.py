@@ -121,7 +121,7 @@ class PatriciaTrie:
                     key, owner = pickle.load(file)
                 except EOFError:
                     break
-                trie.insert(key[len(prefix) :], owner)
+                trie.insert(key[1:], owner)  # keys of a file begin with the byte it is spilled by
             file.close()
             for key, owner in trie._walk(trie.root):
                 yield prefix + key, owner

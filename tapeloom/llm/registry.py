@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import exact_dedup, near_dedup, packing, pii, quality, secrets, segmentation, toxicity, warc
+from tapeloom.llm import exact_dedup, line_dedup, near_dedup, packing, pii, quality, secrets, segmentation, toxicity, warc
 
-MODULES = (pii, toxicity, segmentation, near_dedup, warc, quality, exact_dedup, packing, secrets)
+MODULES = (pii, toxicity, segmentation, near_dedup, line_dedup, warc, quality, exact_dedup, packing, secrets)
 
 
 def queries() -> dict:

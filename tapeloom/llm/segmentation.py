@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.llm.common import documents, text_of
 from tapeloom.llm.near_dedup import _mix
@@ -403,7 +404,7 @@ def decoded(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "d
             texts = [None if x is None else decode(v, x) for x in b.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out_col])
 
-    return rows.mapInArrow(f, rows.schema.add(out_col, "string"))
+    return rows.mapInArrow(f, T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
 def piece_bpe() -> str:

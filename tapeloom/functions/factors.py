@@ -7,6 +7,7 @@ window specification, so any number of them is planned as one exchange and one s
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ def change_sql(x: str, n: int) -> str:
 
 
 def two_means(x: str, a: int, b: int):
-    return over(gated(F.avg, x, a), gated(F.avg, x, b)) - 1, f"{gated_sql('avg', x, a)} / nullif({gated_sql('avg', x, b)}, 0) - 1"
+    return lambda: over(gated(F.avg, x, a), gated(F.avg, x, b)) - 1, f"{gated_sql('avg', x, a)} / nullif({gated_sql('avg', x, b)}, 0) - 1"
 
 
 def rank_of_last(x: str, n: int = 20) -> Column:
@@ -99,50 +100,61 @@ def worst_fall_sql(x: str, n: int) -> str:
     return f"(CASE WHEN len({v}) >= {n} AND list_min({v}) > 0 THEN list_min(list_transform(range(1, len({v}) + 1), lambda i: {v}[i] / list_max({v}[1:i]) - 1)) END)"
 
 
-gain, loss = F.coalesce(F.greatest("delta", F.lit(0.0)), F.lit(0.0)), F.coalesce(F.greatest(-F.col("delta"), F.lit(0.0)), F.lit(0.0))
+def gain() -> Column:
+    return F.coalesce(F.greatest("delta", F.lit(0.0)), F.lit(0.0))
+
+
+def loss() -> Column:
+    return F.coalesce(F.greatest(-F.col("delta"), F.lit(0.0)), F.lit(0.0))
+
+
+def spread() -> Column:
+    return over(gated(F.max, "high", 20, 10) - gated(F.min, "low", 20, 10), F.col("close"))
+
+
 GAIN, LOSS = "CASE WHEN delta > 0 THEN delta ELSE 0 END", "CASE WHEN delta < 0 THEN -delta ELSE 0 END"
-spread, SPREAD = over(gated(F.max, "high", 20, 10) - gated(F.min, "low", 20, 10), F.col("close")), f"({gated_sql('max', 'high', 20, 10)} - {gated_sql('min', 'low', 20, 10)}) / nullif(close, 0)"
+SPREAD = f"({gated_sql('max', 'high', 20, 10)} - {gated_sql('min', 'low', 20, 10)}) / nullif(close, 0)"
 
-FACTORS: dict[str, tuple[Column, str]] = {
-    "f01_momentum_20d": (change("close", 20), change_sql("close", 20)),
-    "f02_momentum_60d": (change("close", 60), change_sql("close", 60)),
-    "f03_volatility_20d": (gated(F.stddev_samp, "ret", 20) * YEAR, f"{gated_sql('stddev_samp', 'ret', 20)} * sqrt(252)"),
-    "f04_volatility_60d": (gated(F.stddev_samp, "ret", 60) * YEAR, f"{gated_sql('stddev_samp', 'ret', 60)} * sqrt(252)"),
+FACTORS: dict[str, tuple[Callable[[], Column], str]] = {
+    "f01_momentum_20d": (lambda: change("close", 20), change_sql("close", 20)),
+    "f02_momentum_60d": (lambda: change("close", 60), change_sql("close", 60)),
+    "f03_volatility_20d": (lambda: gated(F.stddev_samp, "ret", 20) * YEAR, f"{gated_sql('stddev_samp', 'ret', 20)} * sqrt(252)"),
+    "f04_volatility_60d": (lambda: gated(F.stddev_samp, "ret", 60) * YEAR, f"{gated_sql('stddev_samp', 'ret', 60)} * sqrt(252)"),
     "f05_ma_ratio_5_20": two_means("close", 5, 20),
     "f06_ma_ratio_10_60": two_means("close", 10, 60),
     "f07_volume_ratio_5_20": two_means("volume", 5, 20),
-    "f08_rsi_14": (100 - 100 / (1 + over(gated(F.avg, gain, 14), gated(F.avg, loss, 14))), f"100 - 100 / (1 + {gated_sql('avg', GAIN, 14)} / nullif({gated_sql('avg', LOSS, 14)}, 0))"),
+    "f08_rsi_14": (lambda: 100 - 100 / (1 + over(gated(F.avg, gain(), 14), gated(F.avg, loss(), 14))), f"100 - 100 / (1 + {gated_sql('avg', GAIN, 14)} / nullif({gated_sql('avg', LOSS, 14)}, 0))"),
     "f09_price_position_20d": (
-        over(F.col("close") - gated(F.min, "low", 20), gated(F.max, "high", 20) - gated(F.min, "low", 20)),
+        lambda: over(F.col("close") - gated(F.min, "low", 20), gated(F.max, "high", 20) - gated(F.min, "low", 20)),
         f"(close - {gated_sql('min', 'low', 20)}) / nullif({gated_sql('max', 'high', 20)} - {gated_sql('min', 'low', 20)}, 0)",
     ),
-    "f10_illiq_20d": (gated(F.avg, over(F.abs("ret"), F.col("amount")), 20, 10) * 1e9, f"{gated_sql('avg', '(abs(ret) / nullif(amount, 0))', 20, 10)} * 1e9"),
-    "f11_close_rank_20d": (rank_of_last("close"), rank_of_last_sql("close")),
-    "f12_pv_divergence_20d": (rank_of_last("volume") - rank_of_last("close"), f"{rank_of_last_sql('volume')} - {rank_of_last_sql('close')}"),
-    "f13_cs_momentum_20d": (over(1 + change("close", 20), 1 + change("close", 5)) - 1, f"(1 + {change_sql('close', 20)}) / nullif(1 + {change_sql('close', 5)}, 0) - 1"),
-    "f15_max_ret_20d": (gated(F.max, "ret", 20, 10), gated_sql("max", "ret", 20, 10)),
-    "f16_reversal_1d": (-change("close", 1), f"-{change_sql('close', 1)}"),
-    "f17_amivest_20d": (gated(F.avg, F.col("amount") / F.when(F.col("ret").isNotNull(), F.greatest(F.abs("ret"), F.lit(1e-10))), 20, 10), gated_sql("avg", "(amount / CASE WHEN ret IS NOT NULL THEN greatest(abs(ret), 1e-10) END)", 20, 10)),
+    "f10_illiq_20d": (lambda: gated(F.avg, over(F.abs("ret"), F.col("amount")), 20, 10) * 1e9, f"{gated_sql('avg', '(abs(ret) / nullif(amount, 0))', 20, 10)} * 1e9"),
+    "f11_close_rank_20d": (lambda: rank_of_last("close"), rank_of_last_sql("close")),
+    "f12_pv_divergence_20d": (lambda: rank_of_last("volume") - rank_of_last("close"), f"{rank_of_last_sql('volume')} - {rank_of_last_sql('close')}"),
+    "f13_cs_momentum_20d": (lambda: over(1 + change("close", 20), 1 + change("close", 5)) - 1, f"(1 + {change_sql('close', 20)}) / nullif(1 + {change_sql('close', 5)}, 0) - 1"),
+    "f15_max_ret_20d": (lambda: gated(F.max, "ret", 20, 10), gated_sql("max", "ret", 20, 10)),
+    "f16_reversal_1d": (lambda: -change("close", 1), f"-{change_sql('close', 1)}"),
+    "f17_amivest_20d": (lambda: gated(F.avg, F.col("amount") / F.when(F.col("ret").isNotNull(), F.greatest(F.abs("ret"), F.lit(1e-10))), 20, 10), gated_sql("avg", "(amount / CASE WHEN ret IS NOT NULL THEN greatest(abs(ret), 1e-10) END)", 20, 10)),
     "f18_range_20d": (spread, SPREAD),
-    "f19_skew_20d": (skew("ret", 20, 10), gated_sql("skewness", "ret", 20, 10)),
-    "f20_reversal_5d": (-change("close", 5), f"-{change_sql('close', 5)}"),
-    "f21_reversal_20d": (-change("close", 20), f"-{change_sql('close', 20)}"),
-    "f22_neg_range_20d": (-spread, f"-({SPREAD})"),
-    "f25_cvar_95_60d": (tail_mean("ret", 60, 0.05, 40), tail_mean_sql("ret", 60, 0.05, 40)),
-    "f26_max_drawdown_20d": (worst_fall("close", 20), worst_fall_sql("close", 20)),
+    "f19_skew_20d": (lambda: skew("ret", 20, 10), gated_sql("skewness", "ret", 20, 10)),
+    "f20_reversal_5d": (lambda: -change("close", 5), f"-{change_sql('close', 5)}"),
+    "f21_reversal_20d": (lambda: -change("close", 20), f"-{change_sql('close', 20)}"),
+    "f22_neg_range_20d": (lambda: -spread(), f"-({SPREAD})"),
+    "f25_cvar_95_60d": (lambda: tail_mean("ret", 60, 0.05, 40), tail_mean_sql("ret", 60, 0.05, 40)),
+    "f26_max_drawdown_20d": (lambda: worst_fall("close", 20), worst_fall_sql("close", 20)),
     "f27_downside_semivol_20d": (
-        F.sqrt(gated(F.avg, F.pow(F.least(F.coalesce("ret", F.lit(0.0)), F.lit(0.0)), 2), 20, 15)) * YEAR,
+        lambda: F.sqrt(gated(F.avg, F.pow(F.least(F.coalesce("ret", F.lit(0.0)), F.lit(0.0)), 2), 20, 15)) * YEAR,
         f"sqrt({gated_sql('avg', 'pow(least(coalesce(ret, 0), 0), 2)', 20, 15)}) * sqrt(252)",
     ),
-    "f28_kurtosis_20d": (kurtosis("ret", 20, 15), gated_sql("kurtosis", "ret", 20, 15)),
-    "w01_ma_20": (gated(F.avg, "close", 20, 10), gated_sql("avg", "close", 20, 10)),
-    "w03_atr_14": (gated(F.avg, "tr", 14, 7), gated_sql("avg", "tr", 14, 7)),
-    "w04_bollinger_upper": (gated(F.avg, "close", 20, 10) + 2 * gated(F.stddev_samp, "close", 20, 10), f"{gated_sql('avg', 'close', 20, 10)} + 2 * {gated_sql('stddev_samp', 'close', 20, 10)}"),
-    "w04_bollinger_lower": (gated(F.avg, "close", 20, 10) - 2 * gated(F.stddev_samp, "close", 20, 10), f"{gated_sql('avg', 'close', 20, 10)} - 2 * {gated_sql('stddev_samp', 'close', 20, 10)}"),
+    "f28_kurtosis_20d": (lambda: kurtosis("ret", 20, 15), gated_sql("kurtosis", "ret", 20, 15)),
+    "w01_ma_20": (lambda: gated(F.avg, "close", 20, 10), gated_sql("avg", "close", 20, 10)),
+    "w03_atr_14": (lambda: gated(F.avg, "tr", 14, 7), gated_sql("avg", "tr", 14, 7)),
+    "w04_bollinger_upper": (lambda: gated(F.avg, "close", 20, 10) + 2 * gated(F.stddev_samp, "close", 20, 10), f"{gated_sql('avg', 'close', 20, 10)} + 2 * {gated_sql('stddev_samp', 'close', 20, 10)}"),
+    "w04_bollinger_lower": (lambda: gated(F.avg, "close", 20, 10) - 2 * gated(F.stddev_samp, "close", 20, 10), f"{gated_sql('avg', 'close', 20, 10)} - 2 * {gated_sql('stddev_samp', 'close', 20, 10)}"),
     "w08_turnover_z": (
-        F.coalesce(over(F.col("volume") - gated(F.avg, "volume", 20, 10), gated(F.stddev_samp, "volume", 20, 10)), F.lit(0.0)),
+        lambda: F.coalesce(over(F.col("volume") - gated(F.avg, "volume", 20, 10), gated(F.stddev_samp, "volume", 20, 10)), F.lit(0.0)),
         f"coalesce((volume - {gated_sql('avg', 'volume', 20, 10)}) / nullif({gated_sql('stddev_samp', 'volume', 20, 10)}, 0), 0)",
     ),
-    "w12_atr_20": (gated(F.avg, "tr", 20, 1), gated_sql("avg", "tr", 20, 1)),
-    "p29_suspended": ((F.sum(F.when(F.col("volume") == 0, 1).otherwise(0)).over(trailing(5)) >= 3).cast("double"), f"CAST({gated_sql('sum', 'CASE WHEN volume = 0 THEN 1 ELSE 0 END', 5, 1)} >= 3 AS DOUBLE)"),
+    "w12_atr_20": (lambda: gated(F.avg, "tr", 20, 1), gated_sql("avg", "tr", 20, 1)),
+    "p29_suspended": (lambda: (F.sum(F.when(F.col("volume") == 0, 1).otherwise(0)).over(trailing(5)) >= 3).cast("double"), f"CAST({gated_sql('sum', 'CASE WHEN volume = 0 THEN 1 ELSE 0 END', 5, 1)} >= 3 AS DOUBLE)"),
 }

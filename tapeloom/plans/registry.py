@@ -40,7 +40,7 @@ def oracle_sql() -> dict[str, str]:
 def _factor(name: str) -> None:
     column, expression = fx.FACTORS[name]
     query(name, f"WITH {m.SQL}, {fx.ENRICHED_SQL} SELECT code, date, {rounded_sql(expression)} AS value FROM enriched")(
-        lambda spark, d: fx.enriched(m.bars(spark, d)).select("code", "date", rounded(column).alias("value"))
+        lambda spark, d: fx.enriched(m.bars(spark, d)).select("code", "date", rounded(column()).alias("value"))
     )
 
 
@@ -105,7 +105,7 @@ _PANEL = f"WITH {m.SQL}, {fx.ENRICHED_SQL}, p AS (SELECT code, date, close, {fx.
 
 
 def _panel(spark, d):
-    return fx.enriched(m.bars(spark, d)).select("code", "date", "close", fx.change("close", 20).alias("momentum"), fx.FACTORS["f03_volatility_20d"][0].alias("volatility"), (over(F.lead("close", 5).over(by_code()), F.col("close")) - 1).alias("forward"))
+    return fx.enriched(m.bars(spark, d)).select("code", "date", "close", fx.change("close", 20).alias("momentum"), fx.FACTORS["f03_volatility_20d"][0]().alias("volatility"), (over(F.lead("close", 5).over(by_code()), F.col("close")) - 1).alias("forward"))
 
 
 @query("c01_forward_returns", _PANEL + f" SELECT code, date, {r('forward')} AS forward FROM p")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import documents, text_of
+from tapeloom.llm.common import documents, text_of, written
 
 #: Documents that make a template boilerplate; tokens that a line must have; tokens from which halves are left open.
 MIN_DOCS, MIN_TOKENS, HALVES = 10, 4, 10
@@ -34,7 +34,9 @@ def templates(line: Column) -> Column:
         none = F.array().cast("array<bigint>")
         return F.when(n < MIN_TOKENS, none).when(n < HALVES, F.array(F.xxhash64(F.lit("whole"), n, tokens))).otherwise(F.array(first, second))
 
-    tokens = F.array_remove(F.split(F.regexp_replace(line, _FIELD, "<*>"), _GAP), "")
+    # most lines have no digit and only spaces between their tokens
+    fielded = F.split(F.regexp_replace(line, _FIELD, "<*>"), _GAP)
+    tokens = F.array_remove(F.when(line.rlike(r"[0-9\x09-\x0D]"), fielded).otherwise(F.split(line, " ")), "")
     # a lambda binds the tokens, so that they are split once
     return F.get(F.transform(F.array(tokens), of), F.lit(0))
 
@@ -47,7 +49,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table gives no rows; further columns of `docs` are not looked at.
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("t"))
-    lines = rows.select("id", F.xxhash64("t").alias("h"), F.transform(F.split("t", "\n", -1), templates).alias("of"))
+    lines = written(rows.select("id", F.xxhash64("t").alias("h"), F.transform(F.split("t", "\n", -1), templates).alias("of")), "templates")
     once = lines.select("id", F.explode(F.array_distinct(F.flatten("of"))).alias("template"))
     common = once.groupBy("template").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= min_docs).select("template", "first")
     places = lines.where("id is not null").select("id", "h", F.posexplode("of").alias("at", "these")).select("id", "h", "at", F.explode("these").alias("template"))

@@ -128,15 +128,18 @@ class Lattice:
         order = np.argsort(left, kind="stable")
         bounds = np.flatnonzero(np.diff(left[order], prepend=0, append=left.max(initial=0) + 1))
         inside = np.arange(1, wide + 1)
-        self.log_p = np.empty((n, wide), np.float32)
+        self.log_p = np.full((n, wide), -np.inf, np.float32)
+        self.cumulated = np.empty((wide, n), np.float32)  # by length, so that a draw reads only as far as it goes
         for lo, hi in zip(bounds[:-1], bounds[1:]):
             p = order[lo:hi]
             d = int(left[p[0]])
-            x = score[p] + np.where(inside < d, beta[p[:, None] + inside], np.where(inside == d, 0, -np.inf))
+            m = min(d, wide)  # longer pieces don't fit
+            x = score[p, :m] + np.where(inside[:m] < d, beta[p[:, None] + inside[:m]], 0)
             top = x.max(1)
             beta[p] = top + np.log(np.exp(x - top[:, None]).sum(1))
-            self.log_p[p] = x - beta[p][:, None]
-        self.cumulated = np.cumsum(np.exp(self.log_p), 1)
+            self.log_p[p, :m] = x = x - beta[p][:, None]
+            self.cumulated[:m, p] = run = np.cumsum(np.exp(x), 1).T
+            self.cumulated[m:, p] = run[-1]
         self.end = self.first + size
 
     def draw(self, word: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,8 +150,13 @@ class Lattice:
         while len(live):
             u = (_mix(key[live] + _times(k, 3)) >> np.uint64(11)).astype(np.float64) / 2.0**53
             p = at[live]
-            row = self.cumulated[p]
-            take = np.minimum((row <= (u * row[:, -1])[:, None]).sum(1), row.shape[1] - 1)
+            take, rest, x, goal = np.zeros(len(p), np.int64), np.arange(len(p)), p, u * self.cumulated[-1, p]
+            for row in self.cumulated[:-1]:
+                beyond = np.flatnonzero(row[x] <= goal)
+                if not len(beyond):
+                    break
+                rest, x, goal = rest[beyond], x[beyond], goal[beyond]
+                take[rest] += 1
             log_p[live] += self.log_p[p, take]
             steps.append((live, take.astype(np.uint8)))
             at[live] = p + take + 1
@@ -275,24 +283,27 @@ def sample(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k: int) -
         at = depart[turns]
         t_log, t_cuts, t_count = lattice.draw(word[at], _mix(keyed[at] + _times(s + 1, 1)))
         pieces = np.split(t_cuts, np.cumsum(t_count)[:-1]) if len(turns) else []
-        for i, t in enumerate(turns):  # the departing word must differ from what its set excludes
-            m, src = int(at[i]), drawn[parent[t]]
-            out = excluded.setdefault((int(parent[t]), m), {_cuts_at(src, m).tobytes(): src.log_p[m]})
-            tries = 0
-            while pieces[i].tobytes() in out:
-                tries += 1
-                if tries == 32 and lattice.end[word[m]] - lattice.first[word[m]] <= LISTED:
+        outs = [excluded.setdefault((int(parent[t]), int(m)), {_cuts_at(drawn[parent[t]], m).tobytes(): drawn[parent[t]].log_p[m]}) for t, m in zip(turns, at)]
+        again, tries = range(len(turns)), 0
+        while again := [i for i in again if pieces[i].tobytes() in outs[i]]:  # the departing word must differ from what its set excludes
+            tries += 1
+            if tries == 32:
+                for i in [i for i in again if lattice.end[word[at[i]]] - lattice.first[word[at[i]]] <= LISTED]:
                     # what is left has little mass: it is drawn from a list of all
-                    every, logs = lattice.all_of(int(word[m]))
-                    logs = np.where([e in out for e in every], -np.inf, logs)
+                    again.remove(i)
+                    m, (every, logs) = at[i], lattice.all_of(int(word[at[i]]))
+                    logs = np.where([e in outs[i] for e in every], -np.inf, logs)
                     if not np.isfinite(logs).any():
-                        value[t] = -np.inf  # rounding left mass where there is none
-                        break
+                        value[turns[i]] = -np.inf  # rounding left mass where there is none
+                        continue
                     pick = int(np.argmax(logs + _gumbel(_mix(keyed[m : m + 1] + _times(s + 1, 1)) + np.arange(len(logs), dtype=np.uint64) * _C[3])))
                     t_log[i], pieces[i], t_count[i] = logs[pick], np.frombuffer(every[pick], np.uint8), len(every[pick])
-                    break
-                one = lattice.draw(word[m : m + 1], _mix(keyed[m : m + 1] + _times((s + 1) << 32 | tries, 1)))
-                t_log[i], pieces[i], t_count[i] = one[0][0], one[1], len(one[1])
+            more, cut, size = lattice.draw(word[at[again]], _mix(keyed[at[again]] + _times((s + 1) << 32 | tries, 1)))
+            t_log[again], t_count[again] = more, size
+            for i, x in zip(again, np.split(cut, np.cumsum(size)[:-1])):
+                pieces[i] = x
+        for i, t in enumerate(turns):
+            m, src, out = int(at[i]), drawn[parent[t]], outs[i]
             out[pieces[i].tobytes()] = t_log[i]
             rest = 1 - sum(np.exp(x) for x in out.values())
             base = src.log_p[starts[t] : m].sum()

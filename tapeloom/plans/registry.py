@@ -2,39 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tapeloom.functions import factors as fx
 from tapeloom.functions.windows import by_code, over, rounded, rounded_sql, trailing
 from tapeloom.operators import frames as op
+from tapeloom.plans import expressions, forensics, portfolio  # noqa: F401 (they register queries)
+from tapeloom.plans.catalog import oracle_sql, queries, query  # noqa: F401
 from tapeloom.sources import market as m
 from tapeloom.streaming import events
 
 FLAGSHIP = "t01_top_momentum"
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None):
-    def keep(f):
-        _QUERIES[name] = f
-        if sql is not None:
-            _SQL[name] = sql
-        return f
-
-    return keep
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
 
 
 def _factor(name: str) -> None:

@@ -7,7 +7,10 @@ kinds (assign, access, hex) are reported as their patterns say; the method adds
 
 - jwt: three base64url parts whose first decodes to a JSON object with "alg"
 - der: base64 or hex of an ASN.1 SEQUENCE whose length and children fill it exactly (private and public keys, certificates)
-- ssh: base64 of length-prefixed fields that begin with an SSH key type, or an openssh-key-v1 container
+- ssh: base64 or hex of length-prefixed fields that begin with an SSH key type, or an openssh-key-v1 container
+
+Encoded lines that follow each other are one run. Each line start in it is tried as the start of a key; the decoded
+lengths say where the key ends, which must be a line end. So no pair of lines has to be decoded that can't be a key.
 
 The scan is one Arrow map without a shuffle; memory is one Arrow batch.
 """
@@ -33,9 +36,13 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ASSIGN_HINTS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/](?:[A-Za-z0-9+/]|\r?\n(?=[A-Za-z0-9+/])){38,}={0,2}")
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,}+")
+# runs of lines as long as the shortest SSH fields, of 12 bytes; a SEQUENCE has 16 or more
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/\r\n]{16})[A-Za-z0-9+/]++(?:\r?\n[A-Za-z0-9+/]++)*+={0,2}")
+_BASE16 = re.compile(r"(?<![0-9A-Fa-f])(?=[0-9A-Fa-f\r\n]{24})[0-9A-Fa-f]++(?:\r?\n[0-9A-Fa-f]++)*+")
+_LINE = re.compile(r"[A-Za-z0-9+/]+")
 _SSH_TYPES = (b"ssh-", b"ecdsa-", b"sk-ssh-", b"sk-ecdsa-")
+_CONTAINER = b"openssh-key-v1\0"
 
 
 def der_length(b: bytes, at: int) -> tuple[int, int] | None:
@@ -65,7 +72,7 @@ def is_der(b: bytes) -> bool:
 
 def is_ssh(b: bytes) -> bool:
     """Length-prefixed fields that fill b, the first a key type; or an openssh-key-v1 container."""
-    if b.startswith(b"openssh-key-v1\0"):
+    if b.startswith(_CONTAINER):
         return True
     at, n = 0, 0
     while at + 4 <= len(b):
@@ -85,12 +92,100 @@ def is_signed_token(header: str) -> bool:
     return isinstance(x, dict) and isinstance(x.get("alg"), str)
 
 
-def _decoded(s: str) -> bytes:
-    try:
-        s = s.replace("\r", "").replace("\n", "").rstrip("=")
+class _Encoded:
+    """A run of base64 or hex lines: its characters in a row, where lines start in them, and line ends with their place in the text."""
+
+    def __init__(self, run: re.Match, bits: int):
+        lines = [m.span() for m in _LINE.finditer(run.string, *run.span())]
+        self.bits, self.body = bits, "".join(run.string[a:b] for a, b in lines)
+        self.starts, self.ends, at = [], {}, 0
+        for a, b in lines:
+            self.starts.append((at, a))
+            at += b - a
+            self.ends[at] = b
+        self.ends[at] = run.end()  # padding belongs to the last line
+
+    def bytes(self, start: int, end: int) -> bytes:
+        """What the characters stand for; a last one that completes no byte is left out."""
+        s = self.body[start:end]
+        if self.bits == 4:
+            return bytes.fromhex(s[: len(s) & -2])
+        s = s[: len(s) - (len(s) % 4 == 1)]
         return base64.b64decode(s + "=" * (-len(s) % 4))
-    except (ValueError, binascii.Error):
-        return b""
+
+    def end(self, start: int, size: int) -> int | None:
+        """The line end at which `size` bytes from `start` end."""
+        e = start - (-8 * size // self.bits)
+        return e if e in self.ends else None
+
+    def number(self, start: int, at: int) -> int | None:
+        """The four bytes at `at` from `start`."""
+        first = start + (2 * at if self.bits == 4 else at // 3 * 4)
+        b = self.bytes(first, first + 8)[0 if self.bits == 4 else at % 3 :][:4]
+        return int.from_bytes(b, "big") if len(b) == 4 else None
+
+    def skip(self, start: int, at: int, fields: int) -> int | None:
+        """Where length-prefixed fields end that begin at `at`."""
+        room = (len(self.body) - start) * self.bits // 8
+        for _ in range(fields):
+            if (n := self.number(start, at)) is None or (at := at + 4 + n) > room:
+                return None
+        return at
+
+    def der(self, start: int, head: bytes) -> int | None:
+        k = head[1] & 0x7F if head[1] & 0x80 else 0
+        if k > 4:
+            return None
+        e = self.end(start, 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1]))
+        return e if e is not None and is_der(self.bytes(start, e)) else None
+
+    def ssh(self, start: int) -> int | None:
+        """Of the line ends that the fields allow, the last."""
+        at, n, found = 0, 0, None
+        while (at := self.skip(start, at, 1)) is not None:
+            n += 1
+            if n >= 2 and (e := self.end(start, at)) is not None:
+                found = e
+        return found if found is not None and is_ssh(self.bytes(start, found)) else None
+
+    def container(self, start: int) -> int:
+        """The line end that its fields and an authentication tag of 16 bytes or none lead to; the run's end if they lead to none."""
+        at = self.skip(start, len(_CONTAINER), 3)
+        n = None if at is None else self.number(start, at)
+        at = None if n is None else self.skip(start, at + 4, n + 1)
+        ends = [] if at is None else [e for e in (self.end(start, at + 16), self.end(start, at)) if e is not None]
+        return ends[0] if ends else len(self.body)
+
+    def keys(self) -> Iterator[tuple[str, int, int]]:
+        done = 0
+        for start, place in self.starts:
+            if start < done:
+                continue
+            head = self.bytes(start, start + 24)
+            if len(head) < 12:
+                continue
+            kind, e = "", None
+            if head[0] == 0x30:
+                kind, e = "der", self.der(start, head)
+            elif self.bytes(start, start + 30).startswith(_CONTAINER):
+                kind, e = "ssh", self.container(start)
+            elif any(head[4:].startswith(t[: len(head) - 4]) for t in _SSH_TYPES):
+                kind, e = "ssh", self.ssh(start)
+            if e is not None:
+                done = e
+                yield kind, place, self.ends[e]
+
+
+def _tokens(text: str) -> Iterator[tuple[str, int, int]]:
+    """Signed tokens among dotted parts, each part tried as a header."""
+    for m in _DOTTED.finditer(text):
+        at, parts, i = m.start(), m[0].split("."), 0
+        while i + 2 < len(parts):
+            n = 3 if is_signed_token(parts[i]) else 1
+            size = sum(map(len, parts[i : i + n])) + n - 1
+            if n == 3:
+                yield "jwt", at, at + size
+            at, i = at + size + 1, i + n
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -105,16 +200,12 @@ def scan(text: str) -> list[tuple[str, int, int]]:
         found.append(("hex", *m.span()))
         if len(m[0]) % 2 == 0 and m[0].startswith("30") and is_der(bytes.fromhex(m[0])):
             found.append(("der", *m.span()))
-    if "eyJ" in text:
-        found += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[1])]
-    if "MI" in text or "AAAA" in text or "b3Bl" in text:  # how DER sequences of 128 bytes or more, SSH fields and OpenSSH containers begin
-        for m in _BASE64.finditer(text):
-            head = m[0][:4]
-            kind = "ssh" if head in ("AAAA", "b3Bl") else "der" if head[:2] == "MI" else ""
-            if kind and (is_ssh if kind == "ssh" else is_der)(_decoded(m[0])):
-                found.append((kind, *m.span()))
+    found += _tokens(text)
+    for pattern, bits in ((_BASE64, 6), (_BASE16, 4)):
+        for m in pattern.finditer(text):
+            found += _Encoded(m, bits).keys()
     order = {k: i for i, k in enumerate(BASE_KINDS + ADDED_KINDS)}
-    return sorted(found, key=lambda x: (x[1], order[x[0]], x[2]))
+    return sorted(set(found), key=lambda x: (x[1], order[x[0]], x[2]))
 
 
 _OUT = pa.schema([("id", pa.int64()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))])

@@ -182,6 +182,61 @@ def test_secrets(docs):
     assert rows(secrets.redact(docs).where("doc_id = 1"))[0]["text"] is None
 
 
+def test_secret_runs_match_brute_force():
+    """Every line start and line end of encoded runs, decoded and confirmed."""
+    import base64
+    import json
+
+    def brute(text):
+        found = set()
+        for chars, decode in (("A-Za-z0-9+/", lambda x: base64.b64decode(x + "=" * (-len(x) % 4))), ("0-9A-Fa-f", bytes.fromhex)):
+            for run in re.finditer(rf"(?<![{chars}])[{chars}]+(\r?\n[{chars}]+)*", text):
+                lines, done = list(re.finditer(rf"[{chars}]+", run[0])), 0
+                for i, first in enumerate(lines):
+                    for j in reversed(range(i, len(lines))):
+                        try:
+                            b = decode("".join(x[0] for x in lines[i : j + 1]))
+                        except ValueError:
+                            continue
+                        if i >= done and (secrets.is_der(b) or secrets.is_ssh(b)):
+                            end = run.start() + lines[j].end()
+                            padding = re.match("={0,2}", text[end:]).end() if chars != "0-9A-Fa-f" else 0
+                            found.add(("der" if b[0] == 0x30 else "ssh", run.start() + first.start(), end + padding))
+                            done = j + 1
+                            break
+        return found
+
+    fields = lambda *xs: b"".join(len(x).to_bytes(4, "big") + x for x in xs)
+    keys = [
+        b"\x30\x77\x02\x01\x01\x04\x20" + b"k" * 32 + bytes.fromhex("a00a06082a8648ce3d030107a144034200") + b"\x04" + b"p" * 64,  # SEC1 P-256, MHcC
+        bytes.fromhex("302e020100300506032b657004220420") + b"s" * 32,  # Ed25519 PKCS#8, MC4C
+        bytes.fromhex("3059301306072a8648ce3d020106082a8648ce3d030107034200") + b"\x04" + b"q" * 64,  # P-256 public, MFkw
+        bytes.fromhex("3082008a020100048184") + b"k" * 132,
+        fields(b"ssh-ed25519", b"k" * 32),
+        fields(b"ecdsa-sha2-nistp256", b"nistp256", b"k" * 65),
+    ]
+    assert all(secrets.is_der(k) or secrets.is_ssh(k) for k in keys)
+    for k in keys:
+        whole = base64.b64encode(k).decode()
+        bare, wrapped = whole.rstrip("="), "\r\n".join(whole[i : i + 64] for i in range(0, len(whole), 64))
+        forms = [whole, bare, wrapped, k.hex(), k.hex().upper(), "\n".join(k.hex().upper()[i : i + 60] for i in range(0, 2 * len(k), 60))]
+        for form in forms:
+            for text in (form, f"see {form} there", f"my key\n{form}", f"my key\nand\n{form}\nWord and more", f"{form}\n\n{form}\n", f"é -----\n{form}\n-----"):
+                got = {x for x in secrets.scan(text) if x[0] in ("der", "ssh")}
+                assert got == brute(text) and got, text
+                assert form not in secrets.redacted(text)
+        for bad in (bare[:-6], bare + "AAAA", k[:-3].hex()):
+            text = f"a\n{bad}\nWord"
+            assert {x for x in secrets.scan(text) if x[0] in ("der", "ssh")} == brute(text)
+    box = b"openssh-key-v1\0" + fields(b"none", b"none", b"") + b"\0\0\0\1" + fields(fields(b"ssh-ed25519", b"k" * 32), b"x" * 136)
+    text = base64.b64encode(box).decode().rstrip("=")
+    assert ("ssh", 7, 7 + len(text)) in secrets.scan(f"my key\n{text}\nWord and more")
+    for head in ({"alg": "HS256"}, {"typ": "JWT", "alg": "none"}):
+        for dumped in (json.dumps(head), json.dumps(head, indent=1), " " + json.dumps(head)):
+            token = base64.urlsafe_b64encode(dumped.encode()).decode().rstrip("=") + ".e30.abc"
+            assert secrets.scan(f"www.{token} a.b.c") == [("jwt", 4, 4 + len(token))]
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 

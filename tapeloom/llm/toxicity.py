@@ -200,7 +200,7 @@ def _calibrated(m: Model, words: list[list[bytes]], labels: np.ndarray) -> np.nd
 
 
 class Scorer(dict):
-    """Word -> row of a table of filter responses; the table starts anew beyond LIMIT words."""
+    """Word -> row of a table of filter responses, and of one of language codes; the tables start anew beyond LIMIT words."""
 
     LIMIT = 100_000
 
@@ -212,13 +212,19 @@ class Scorer(dict):
     def _reset(self) -> None:
         self.clear()
         self.table, self.new = self.model.responses(np.zeros((1, 3), np.int32)), []
+        self.codes = bytearray(1)  # language whose function word a word is; 0: none
 
     def __missing__(self, word: bytes) -> int:
         self.new.append(buckets_of(word))
+        self.codes.append(_LANGUAGE_OF.get(word, 0))
         self[word] = i = len(self) + 1
         return i
 
     def logits(self, words: list[list[bytes]]) -> np.ndarray:
+        return self.read(words)[0]
+
+    def read(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's logit and its language, as language_of tells it from all words."""
         if len(self) > self.LIMIT:
             self._reset()
         starts, ends = _layout([len(w) for w in words])
@@ -234,14 +240,16 @@ class Scorer(dict):
                 self.table = wide
             self.table[need - len(self.new) : need] = self.model.responses(np.array(self.new, np.int32))
             self.new = []
+        codes = np.frombuffer(bytes(self.codes), np.uint8)[idx]
+        seen = np.array([np.bincount(codes[s:e], minlength=len(LANGUAGES)) for s, e in zip(starts.tolist(), ends.tolist())])
+        seen[:, 0] = 0
         pooled = [np.maximum.reduceat(c, starts, 0) for c in _windows(self.table[idx], starts, ends)]
-        return np.maximum(np.concatenate(pooled, 1) + self.model.bias, 0) @ self.model.weight + self.model.intercept
+        return np.maximum(np.concatenate(pooled, 1) + self.model.bias, 0) @ self.model.weight + self.model.intercept, seen.argmax(1)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """Of a language's cut and above: 0.5 and more."""
-        words = [words_of(t) for t in texts]
-        lang = [language_of(w[:: max(1, len(w) // 200)]) for w in words]  # function words of an even spread over the whole text
-        z = self.logits(words).astype(np.float64) - self.model.offsets[lang]
+        z, lang = self.read([words_of(t) for t in texts])
+        z = z.astype(np.float64) - self.model.offsets[lang]
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 

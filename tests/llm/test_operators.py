@@ -283,6 +283,22 @@ def test_toxicity(docs, model):
     assert sorted(str(r["text"]) for r in got) == sorted(str(t) for _, t in TEXTS)
 
 
+def test_toxicity_reads_the_language_from_all_words(model):
+    """A passage of 100 words over and over, and mixed texts: the cut is that of language_of over the whole text."""
+    import dataclasses
+
+    m = dataclasses.replace(model, offsets=np.arange(len(toxicity.LANGUAGES), dtype=float))
+    filler = [f"word{j}" for j in range(99)]
+    texts = [" ".join([*filler, "nicht"] * 400), " ".join([*filler[:50], "the", *filler[50:], "der", "der"] * 30), " ".join(["los"] * 300 + ["der", "word1"] * 301), "", "word1", "the der"]
+    texts = [t.encode() for t in texts]
+    words = [toxicity.words_of(t) for t in texts]
+    z, lang = toxicity.Scorer(m).logits(words).astype(float), [toxicity.language_of(w) for w in words]
+    assert [toxicity.LANGUAGES[k] for k in lang] == ["de", "de", "de", "", "", "en"]
+    scorer = toxicity.Scorer(m)
+    for _ in range(2):
+        assert np.allclose(scorer.scores(texts), 1 / (1 + np.exp(m.offsets[lang] - z)))
+
+
 def test_toxicity_held_out(spark):
     d, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     model = toxicity.fit(d, labels)

@@ -102,9 +102,9 @@ def eligible(spark, d):
     """Codes listed 60 days or more and not delisted, at each year's first day; a code explodes to its own years, without a join on ranges."""
     b, master = _master(spark, d)
     years = b.select(F.trunc("date", "year").alias("as_of")).distinct()
-    last = F.coalesce("gone", F.lit("2100-01-01").cast("date"))
-    span = master.select("code", "ipo", last.alias("last"), F.explode(F.sequence(F.trunc("ipo", "year"), F.trunc(F.least(last, F.lit("2010-01-01").cast("date")), "year"), F.expr("interval 1 year"))).alias("as_of"))
-    return span.where((F.date_add("ipo", 60) <= F.col("as_of")) & (F.col("as_of") < F.col("last"))).select("as_of", "code").join(years, "as_of", "left_semi")
+    latest = b.agg(F.max("date").alias("latest"))
+    span = master.join(F.broadcast(latest)).select("code", "ipo", "gone", F.explode(F.sequence(F.trunc("ipo", "year"), F.trunc(F.coalesce("gone", "latest"), "year"), F.expr("interval 1 year"))).alias("as_of"))  # latest is one row
+    return span.where((F.date_add("ipo", 60) <= F.col("as_of")) & (F.col("gone").isNull() | (F.col("as_of") < F.col("gone")))).select("as_of", "code").join(years, "as_of", "left_semi")
 
 
 @query("v02_delisted", _LISTED + " SELECT code, gone FROM master WHERE gone <= DATE '2001-12-31'")

@@ -41,6 +41,16 @@ def test_matches_sql(spark, duck, name):
     assert all(near(a, b) for x, y in zip(got, want) for a, b in zip(x, y))
 
 
+def test_eligible_after_2010(spark, tmp_path):
+    """Bars from 2015 on, against the query's SQL."""
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT * REPLACE (l_shipdate + INTERVAL 20 YEAR AS l_shipdate) FROM '{DATA}/lineitem.parquet') TO '{tmp_path}/lineitem.parquet'")
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    want = c.execute(f"SELECT as_of, code FROM ({registry.oracle_sql()['v01_eligible']})").fetchall()
+    got = registry.queries()["v01_eligible"](spark, str(tmp_path)).select("as_of", "code").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and want
+
+
 def test_entry(spark):
     import __spark_entry__
 

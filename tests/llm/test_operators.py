@@ -379,6 +379,74 @@ def test_registry():
     assert set(registry.oracle_sql()) <= set(names)
 
 
+def test_pipeline_stages_match_plain_python(spark, tmp_path):
+    """Kept ids and texts of every stage, and the final pieces, on planted toxic, equal, near-equal and secret-bearing documents."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    texts = {i: " ".join(f"word{j}" for j in rng.integers(0, 400, 40)) for i in range(300)}
+    toxic = set(range(0, 300, 5))
+    for i in toxic:
+        texts[i] += " idiot you idiot"
+    for i, of in ((300, 1), (301, 2), (302, 3)):
+        texts[i] = texts[of].replace(" ", "  ", 2)  # the longer original stays
+    for i, of in ((303, 4), (304, 6), (305, 304)):
+        texts[i] = texts[of] + f" more{i}"
+    secret = "MC4CAQAwBQYDK2VwBCIEI" + "HNz" * 14 + "c="
+    assert [k for k, _, _ in secrets.scan(secret)] == ["der"]
+    for i in (306, 307):
+        texts[i] = " ".join(f"own{i}x{j}" for j in range(30)) + f"\n{secret}\nend"
+    texts |= {308: None, 309: "", 310: "two words " * 2500}
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    labels = spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(300)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+
+    def shingles(t):
+        w = words(t)
+        return {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    def equal(kept):
+        best = {}
+        for i, t in kept.items():
+            key = re.sub(r"[\x20\x09-\x0D]", "", t or "")
+            best[key] = min(best.get(key, (1, 0)), (-len(t or ""), i))
+        return {i: kept[i] for _, i in best.values()}
+
+    def near(kept):
+        sets, comp, changed = {i: shingles(t) for i, t in kept.items()}, {i: i for i in kept}, True
+        links = [(a, b) for a, b in combinations(sorted(kept), 2) if sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+        while changed:
+            changed = False
+            for a, b in links:
+                if comp[a] != comp[b]:
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+                    changed = True
+        return {i: t for i, t in kept.items() if comp[i] == i}
+
+    want = {i: t for i, t in texts.items() if i not in toxic}
+    steps = [want, equal(want), near(equal(want))]
+    steps.append({i: t and t.replace(secret, "<secret>") for i, t in steps[-1].items()})
+    assert len({len(x) for x in steps}) == 3 and steps[3] != steps[2]
+    kept = docs
+    for (name, stage), want in zip(corpus_pipeline.STAGES, steps):
+        kept = stage(spark, kept, str(tmp_path)).localCheckpoint()
+        got = [(r["doc_id"], r["text"]) for r in rows(kept)]
+        assert sorted(got, key=lambda x: x[0]) == sorted(want.items()), name
+    t, want = Tokenizer.from_file(packing.word_bpe()), []
+    for i, text in steps[3].items():
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        want += [(i, p, s, len(ids[s : s + 2048]), zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes())) for p, s in enumerate(range(0, len(ids), 2048))]
+    pieces = rows(corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)))
+    assert sorted(tuple(r[k] for k in ("doc_id", "piece", "start", "length", "ids_crc32")) for r in pieces) == sorted(want)
+    ends = {}
+    for r in sorted(pieces, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 2048
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 

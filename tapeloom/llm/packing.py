@@ -3,11 +3,13 @@
 Every document is tokenised once, in one Arrow map that writes its pieces (at most `capacity` tokens
 each) with the running number of the piece among those of its length in the task. What the program
 needs of the corpus is the histogram of lengths, at most `capacity` counts whatever the corpus holds.
-Its columns are configurations, multisets of lengths that fit one sequence: multiplicative weights on
-the lengths ask a knapsack dynamic program for the configuration of largest weight, whose coverage
-lowers the weights; the fractional solution is rounded down, what is left is filled class by class by
-the same dynamic program with exact counts. The plan (configuration, length, how many) is then dealt
-to the pieces by their global number within their length, without sorting or grouping the pieces.
+Its columns are configurations, multisets of lengths that fit one sequence. Multiplicative weights on
+the lengths start from the best of a family of dual-feasible functions; each round a knapsack dynamic
+program prices all room, every length gets a configuration of the going price, and lengths covered less
+than the rest gain weight. The fractional solution is rounded, the program is solved again for the rest,
+and fewer pieces than there are lengths in use are left to a best-fit filling. The plan (configuration,
+length, how many) is then dealt to the pieces by their global number within their length, without
+sorting or grouping the pieces.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from tapeloom.llm.common import documents, free_memory, text_of, written
 CAPACITY = 2048
 #: Bytes of text whose distinct words are looked up together.
 SLICE = 12 << 20
-#: Rounds of multiplicative weights, and their step. The driver's work depends on capacity and rounds, not on the corpus.
-ROUNDS, STEP = 300, 0.5
+#: Rounds of multiplicative weights before a rounding, the share of what is open that a round may cover, how far below the
+#: going price a configuration may be at first, and the step of the weights in parts of that. The driver's work depends on
+#: the capacity, not on the corpus.
+ROUNDS, SHARE, TOLERANCE, STEP = 8, 0.35, 1e-3, 0.1
 
 
 #: ASCII punctuation that doesn't begin a contraction.
@@ -141,65 +145,110 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
     free_memory()
 
 
-def knapsack(value: np.ndarray, capacity: int) -> np.ndarray:
-    """Lengths of the most valuable multiset that fits; value[l] is the worth of length l (0: none), any number of each."""
-    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    lengths = np.flatnonzero(value > 0)
-    worth = value[lengths]
+def prices(weight: np.ndarray) -> np.ndarray:
+    """Knapsack prices: best[c] is the most that pieces of these weights (0: not offered) are worth in c tokens."""
+    capacity = len(weight) - 1
+    offered = np.where(weight > 0, weight, -np.inf)[::-1].copy()
+    best = np.zeros(capacity + 1)
     for c in range(1, capacity + 1):
-        n = np.searchsorted(lengths, c, "right")
-        best[c] = best[c - 1]
-        if n:
-            x = best[c - lengths[:n]] + worth[:n]
-            k = int(np.argmax(x))
-            if x[k] > best[c]:
-                best[c], take[c] = x[k], lengths[k]
-    out, c = [], capacity
-    while c > 0:
-        if take[c]:
-            out.append(take[c])
-            c -= take[c]
-        else:
-            c -= 1
-    return np.array(out, np.int64)
-
-
-def solve(counts: np.ndarray, rounds: int = ROUNDS) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """Configurations (how often, lengths, how many of each) that hold `counts[l]` pieces of every length l exactly."""
+        best[c] = max(best[c - 1], (best[:c] + offered[capacity - c : capacity]).max())
+    return best
+
+
+def first_weights(need: np.ndarray) -> np.ndarray:
+    """Of the dual-feasible weights "1 beyond capacity - k, 0 below k, else the share of a sequence", those of the highest bound."""
+    capacity, length, used = len(need) - 1, np.arange(len(need)), np.flatnonzero(need)
+    cuts = np.unique(np.concatenate(([0], used[used <= capacity // 2], capacity - used[used > capacity // 2])))
+    bounds = [(need * np.where(length > capacity - k, 1.0, np.where(length < k, 0.0, length / capacity))).sum() for k in cuts]
+    k = cuts[int(np.argmax(np.round(bounds, 6)))]
+    return np.maximum(np.where(length > capacity - k, 1.0, np.where(length < k, 0.0, length / capacity)), 1e-3 * length / capacity)
+
+
+def _column(lead: int, weight: np.ndarray, best: np.ndarray, used: np.ndarray, need: np.ndarray, room: np.ndarray, slack: float) -> tuple[dict[int, int], float]:
+    """A configuration with `lead`, traced along the prices through lengths that still have room, and what it is worth.
+
+    Of lengths whose price falls short of the best by at most `slack`, that with the largest open share (times length) is taken.
+    """
+    chosen, c, worth = {lead: 1}, len(weight) - 1 - lead, float(weight[lead])
+    while n := int(np.searchsorted(used, c, "right")):
+        lengths = used[:n]
+        value, open_ = best[c - lengths] + weight[lengths], room[lengths]
+        x = np.where(open_ >= 0.25 * room[lead], value, -1.0)
+        if x.max() < best[c] - 5 * slack:  # those with plenty of room don't reach the price: any that has room
+            x = np.where(open_ > 0, value, -1.0)
+            if x.max() < 0:
+                break
+        l = int(lengths[np.argmax(np.where(x >= x.max() - slack, open_ / need[lengths] * lengths, -1.0))])
+        chosen[l] = chosen.get(l, 0) + 1
+        worth, c = worth + float(weight[l]), c - l
+    return chosen, worth
+
+
+def program(need: np.ndarray, weight: np.ndarray, tolerance: float) -> dict[tuple, float]:
+    """ROUNDS of multiplicative weights on the covering program: configurations ((length, how many), ...) and how often each, in fractions.
+
+    A round prices the lengths, and for each length, longest first, takes a configuration with it that is worth the
+    going price (the median over the open tokens) but for `tolerance`, as often as SHARE of what is open allows. Then
+    lengths that are covered less than the whole gain weight, the others lose; `weight` is changed in place.
+    """
+    capacity, used, columns = len(need) - 1, np.flatnonzero(need), {}
+    length, whole, left = np.arange(capacity + 1), need.astype(float), need.astype(float)
+    for _ in range(ROUNDS):
+        tokens = left * length
+        # lengths that are all but covered, or hold next to no tokens, can lead a configuration but don't set prices
+        best = prices(np.where((left >= np.maximum(0.5, 0.02 * whole)) & (tokens >= 1e-4 * tokens.sum()), weight, 0))
+        worth = weight[used] + best[capacity - used]
+        order = np.argsort(worth)
+        run = np.cumsum(tokens[used][order])
+        price = worth[order[min(np.searchsorted(run, run[-1] / 2), len(order) - 1)]] * (1 - tolerance)
+        room = SHARE * left
+        for lead in used[worth >= price][::-1].tolist():
+            if room[lead] <= 0:
+                continue
+            chosen, value = _column(lead, weight, best, used, whole, room, tolerance / 5)
+            often = min(room[l] / m for l, m in chosen.items())
+            if value < price or often <= 0:
+                continue
+            for l, m in chosen.items():
+                room[l] -= often * m
+                left[l] -= often * m
+            key = tuple(sorted(chosen.items()))
+            columns[key] = columns.get(key, 0.0) + often
+        left[left < 1e-9 * whole] = 0
+        open_ = (left * length).sum() / (need * length).sum()
+        if open_ < 0.02:
+            break
+        weight[used] *= np.exp(STEP * tolerance * np.clip(left[used] / whole[used] / open_ - 1, -1, 1))
+    return columns
+
+
+def solve(counts: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Configurations (how often, lengths, how many of each) that hold `counts[l]` pieces of every length l exactly.
+
+    The program's configurations are rounded, the most used first, as far as pieces are left, and the program is
+    solved again for what remains, with twice the tolerance when that took away less than 30 percent. Fewer pieces
+    than there are lengths in use are left to `fill`.
+    """
     capacity = len(counts) - 1
     left = counts.astype(np.int64).copy()
     plan: list[tuple[int, np.ndarray, np.ndarray]] = []
     if left[capacity]:
         plan.append((int(left[capacity]), np.array([capacity]), np.array([1])))
         left[capacity] = 0
-    if not left.any():
-        return plan
-    # the program: as few configurations as cover every length `need` times; weights start at the lengths themselves
-    need, weight = left.astype(float), np.arange(capacity + 1) / capacity
-    weight[need == 0] = 0
-    covered, columns = np.zeros(capacity + 1), {}
-    for _ in range(rounds):
-        picked = knapsack(weight, capacity)
-        lengths, many = np.unique(picked, return_counts=True)
-        amount = float((need[lengths] / many).min()) * STEP  # no length is covered faster than STEP of its need in a round
-        key = tuple(zip(lengths.tolist(), many.tolist()))
-        columns[key] = columns.get(key, 0.0) + amount
-        covered[lengths] += many * amount
-        weight[lengths] *= np.exp(-0.2 * many * amount / need[lengths])
-        if (covered >= need).all():
-            break
-    surplus = max(1.0, float((covered[need > 0] / need[need > 0]).max()))
-    # rounding: every column as often as its share says, rounded down and as far as pieces are left
-    for key, amount in sorted(columns.items(), key=lambda x: -sum(l * m for l, m in x[0])):
-        lengths, many = np.array([l for l, _ in key]), np.array([m for _, m in key])
-        if (lengths * many).sum() < 0.995 * capacity:
-            continue
-        n = min(int(amount * min(1.0, 4 / surplus) + 0.5), int((left[lengths] // many).min()))
-        if n > 0:
-            plan.append((n, lengths, many))
-            left[lengths] -= n * many
-    plan += fill(left)
-    return plan
+    in_use, weight, tolerance = np.count_nonzero(left), first_weights(left), TOLERANCE
+    while left.sum() > in_use / 8:
+        before = left.sum()
+        for key, often in sorted(program(left, weight, tolerance).items(), key=lambda x: (-x[1], x[0])):
+            lengths, many = np.array(key).T
+            n = min(max(1, round(often)), int((left[lengths] // many).min()))
+            if n > 0:
+                plan.append((n, lengths, many))
+                left[lengths] -= n * many
+        if left.sum() > 0.7 * before:
+            tolerance *= 2
+            if left.sum() < in_use or tolerance > 1:
+                break
+    return plan + fill(left)
 
 
 def fill(left: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.llm import exact_dedup, line_dedup, near_dedup, packing, pii, quality, registry, secrets, segmentation, toxicity, warc
+from tapeloom.llm.common import written
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, keep_id long, id long, spans string, k string"
@@ -263,17 +264,39 @@ def test_packing(spark, docs):
     assert packing.pack(docs, packing.word_bpe()).count() >= len(TEXTS)
 
 
-def test_plan_covers_counts():
+def _histograms():
     rng = np.random.default_rng(4)
-    for n in (5, 300, 20_000):
-        counts = np.bincount(rng.integers(1, 257, n), minlength=257)
-        plan, got = packing.solve(counts, rounds=40), np.zeros(257, int)
-        for often, lengths, many in plan:
-            assert (lengths * many).sum() <= 256
-            got[lengths] += often * many
-        assert (got == counts).all()
-        bins, least = sum(p[0] for p in plan), -(-int((counts * np.arange(257)).sum()) // 256)
-        assert bins <= least * 1.15 + 1
+    at_most = lambda x, c: np.bincount(np.clip(x.astype(int), 1, c), minlength=c + 1)
+    yield "few", at_most(rng.integers(1, 257, 300), 256)
+    yield "even", at_most(rng.integers(1, 513, 20_000), 512)
+    yield "lognormal", at_most(rng.lognormal(4.2, 1, 60_000), 512)
+    yield "pairs", at_most(rng.integers(175, 351, 30_000), 512)
+    yield "triples", at_most(rng.integers(162, 181, 20_000), 512)
+
+
+@pytest.mark.parametrize("name, counts", list(_histograms()))
+def test_plan_covers_counts(name, counts, monkeypatch):
+    """All pieces are placed, the program leaves fewer than there are lengths in use, and it needs about as few sequences as best fit alone."""
+    capacity, left = len(counts) - 1, []
+    fill = packing.fill
+    monkeypatch.setattr(packing, "fill", lambda x: left.append(int(x.sum())) or fill(x))
+    plan, got = packing.solve(counts), np.zeros(capacity + 1, int)
+    for often, lengths, many in plan:
+        assert (lengths * many).sum() <= capacity
+        got[lengths] += often * many
+    assert (got == counts).all()
+    assert left[0] < np.count_nonzero(counts)
+    greedy = counts.copy()
+    greedy[capacity] = 0
+    alone = sum(p[0] for p in fill(greedy)) + int(counts[capacity])
+    least = -(-int((counts * np.arange(capacity + 1)).sum()) // capacity)
+    assert sum(p[0] for p in plan) <= min(1.0005 * alone + 1, 1.06 * least), (name, least, alone)
+
+
+def test_plan_of_nothing():
+    assert packing.solve(np.zeros(257, np.int64)) == []
+    only = packing.solve(np.bincount([256, 256], minlength=257))
+    assert [(n, l.tolist(), m.tolist()) for n, l, m in only] == [(2, [256], [1])]
 
 
 def test_toxicity(docs, model):
@@ -431,7 +454,8 @@ def test_pipeline_stages_match_plain_python(spark, tmp_path):
     assert len({len(x) for x in steps}) == 3 and steps[3] != steps[2]
     kept = docs
     for (name, stage), want in zip(corpus_pipeline.STAGES, steps):
-        kept = stage(spark, kept, str(tmp_path)).localCheckpoint()
+        kept = stage(spark, kept, str(tmp_path))
+        kept = written(kept, "stage")
         got = [(r["doc_id"], r["text"]) for r in rows(kept)]
         assert sorted(got, key=lambda x: x[0]) == sorted(want.items()), name
     t, want = Tokenizer.from_file(packing.word_bpe()), []

@@ -14,10 +14,16 @@ WS = " \t\n\x0b\f\r"
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Keys that a spread join deals out over several tasks, at most.
+HOT_KEYS = 5_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine a folder of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tapeloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,6 +44,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: str, by: str) -> DataFrame:
+    """Inner join of `left` with `right`, which has one row per key, and in `rows` about how many rows of `left` have it.
+
+    A key with more than a HOT_KEYS-th of all rows is dealt out by a hash of `by` in `left`, and its row of `right`
+    repeated as often; there are at most HOT_KEYS such keys, so their list of two numbers each can be broadcast.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    if not total:
+        return left.join(right, key)
+    salts = F.ceil(F.col(rows) * HOT_KEYS / F.lit(total)).cast("int")
+    hot = right.where(salts > 1).select(F.col(key).alias("hot_"), salts.alias("salts_"))
+    salted = left.join(F.broadcast(hot), F.col(key) == F.col("hot_"), "left").withColumn("salt_", F.coalesce(F.pmod(F.xxhash64(by), F.col("salts_")).cast("int"), F.lit(0))).drop("hot_", "salts_")
+    repeated = right.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    return salted.join(repeated, [key, "salt_"]).drop("salt_")
+
+
 def free_memory() -> None:
     """At a task's end: what Arrow and the C library hold but don't use goes back to the system."""
     import ctypes

@@ -5,11 +5,13 @@ empty. Normalising and hashing stay in the JVM. Each map task first folds its ow
 of a text that fills a third of the table only one row per map task is shuffled. The shuffle deals
 by (length, SHA-256), each reduce task inserts the full byte strings into one radix trie, and the
 terminal nodes hold the owner: most code points in the original, then smallest id. A trie that
-outgrows its budget spills whole subtrees to a scratch file and folds them one by one.
+outgrows its budget spills whole subtrees to scratch files and folds them one by one. The answers
+return to the rows by a join salted by the size of the group.
 """
 
 from __future__ import annotations
 
+import contextlib
 import pickle
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -18,17 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import WS, documents, free_memory, text_of
+from tapeloom.llm.common import WS, documents, free_memory, spread_join, text_of, written
 
 #: Bytes of keys a trie holds before it spills a subtree (or, on the map side, hands its rows on).
 TRIE_BYTES = 64 << 20
 
 
 class _Node:
-    __slots__ = ("children", "label", "owner")
+    """A node, or the stub of a spilled subtree: `files` are (path from here, file of (rest of the key below that, owner))."""
+
+    __slots__ = ("children", "files", "label", "owner")
 
     def __init__(self, label: bytes, owner=None):
-        self.label, self.children, self.owner = label, {}, owner
+        self.label, self.children, self.owner, self.files = label, {}, owner, []
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -51,25 +55,27 @@ def better(a: tuple, b: tuple) -> tuple:
 
 
 class PatriciaTrie:
-    """Compressed radix trie from byte strings to owners; it spills the largest subtree beyond `budget` bytes."""
+    """Compressed radix trie from byte strings to owners.
+
+    Beyond `budget` bytes it spills the largest subtrees of its uppermost branching node, each whole and below its
+    full label, so a prefix that all keys share is passed over once, however long. The files are the task's own:
+    a lost task is run again from its input.
+    """
 
     def __init__(self, budget: int = TRIE_BYTES):
-        self.root, self.budget, self.held, self.sizes, self.spilled = _Node(b""), budget, 0, {}, {}
+        self.root, self.budget, self.held, self.spilled = _Node(b""), budget, 0, 0
 
     def insert(self, key: bytes, owner: tuple) -> None:
-        first = key[:1]
-        if first in self.spilled:
-            pickle.dump((key, owner), self.spilled[first])
-            return
-        grown = self._insert(key, owner)
-        self.held += grown
-        self.sizes[first] = self.sizes.get(first, 0) + grown
-        if self.held > self.budget and first:
-            self._spill(max((k for k in self.sizes if k), key=self.sizes.get))
+        self.held += self._insert(key, owner)
+        if self.held > self.budget:
+            self._spill()
 
     def _insert(self, key: bytes, owner: tuple) -> int:
         node, at = self.root, 0
         while True:
+            if node.files:
+                pickle.dump((key[at:], owner), node.files[0][1])
+                return 0
             if at == len(key):
                 node.owner = owner if node.owner is None else better(node.owner, owner)
                 return 0
@@ -92,40 +98,68 @@ class PatriciaTrie:
             upper.children[key[at + n]] = _Node(key[at + n :], owner)
             return len(key) - at - n + 400
 
-    def _spill(self, first: bytes) -> None:
-        self.spilled[first] = tempfile.TemporaryFile()
-        for item in self._walk(self.root.children.pop(first[0])):
-            pickle.dump(item, self.spilled[first])
-        self.held -= self.sizes.pop(first)
-
-    def _walk(self, top: _Node, prefix: bytes = b"") -> Iterator[tuple[bytes, tuple]]:
-        stack = [(top, prefix)]
-        while stack:
-            node, prefix = stack.pop()
-            key = prefix + node.label
-            if node.owner is not None:
-                yield key, node.owner
-            stack += [(c, key) for c in node.children.values()]
+    def _spill(self) -> None:
+        node = self.root
+        while len(node.children) == 1:
+            (node,) = node.children.values()
+        resident = sorted(((sum(len(x.label) + 200 for x in _below(c)), c.label[0], c) for c in node.children.values() if not c.files), reverse=True)
+        freed = 0
+        for size, _, child in resident:
+            if 2 * freed >= self.budget:
+                break
+            file, n = tempfile.TemporaryFile(), len(child.label)
+            files = [(b"", file)]
+            for key, x in _nodes(child, b""):
+                if x.owner is not None:
+                    pickle.dump((key[n:], x.owner), file)
+                files += [(key[n:] + path, f) for path, f in x.files]  # stubs that came to lie below
+            child.children, child.owner, child.files = {}, None, files
+            freed += size - len(child.label) - 200
+            self.spilled += 1
+        self.held -= freed
 
     def items(self) -> Iterator[tuple[bytes, tuple]]:
-        """Every key with its owner; spilled subtrees follow, each in a trie below its first byte."""
-        yield from self._walk(self.root)
-        waiting = [(k, f) for k, f in self.spilled.items()]
-        self.root, self.spilled = _Node(b""), {}
+        """Every key with its owner; spilled subtrees follow, each in a trie of its own."""
+        waiting = [(b"", self)]
         while waiting:
-            prefix, file = waiting.pop()
-            file.seek(0)
-            trie = PatriciaTrie(self.budget)
-            while True:
-                try:
-                    key, owner = pickle.load(file)
-                except EOFError:
-                    break
-                trie.insert(key[1:], owner)  # keys of a file begin with the byte it is spilled by
-            file.close()
-            for key, owner in trie._walk(trie.root):
-                yield prefix + key, owner
-            waiting += [(prefix + k, f) for k, f in trie.spilled.items()]
+            prefix, trie = waiting.pop()
+            yield from ((prefix + key, owner) for key, owner in _keys(trie.root, b""))
+            stubs = [(prefix + key, node.files) for key, node in _nodes(trie.root, b"") if node.files]
+            trie.root = _Node(b"")
+            for below, files in stubs:
+                trie = PatriciaTrie(self.budget)
+                for path, file in files:
+                    file.seek(0)
+                    with file, contextlib.suppress(EOFError):
+                        while True:
+                            key, owner = pickle.load(file)
+                            trie.insert(path + key, owner)
+                if trie.spilled:
+                    waiting.append((below, trie))
+                else:
+                    yield from ((below + key, owner) for key, owner in _keys(trie.root, b""))
+
+
+def _nodes(top: _Node, prefix: bytes) -> Iterator[tuple[bytes, _Node]]:
+    """The node and those below it, each with its whole key."""
+    stack = [(top, prefix)]
+    while stack:
+        node, prefix = stack.pop()
+        key = prefix + node.label
+        yield key, node
+        stack += [(c, key) for c in node.children.values()]
+
+
+def _below(top: _Node) -> Iterator[_Node]:
+    stack = [top]
+    while stack:
+        node = stack.pop()
+        yield node
+        stack += node.children.values()
+
+
+def _keys(top: _Node, prefix: bytes) -> Iterator[tuple[bytes, tuple]]:
+    return ((key, node.owner) for key, node in _nodes(top, prefix) if node.owner is not None)
 
 
 _MADE = pa.schema([("norm_len", pa.int64()), ("sha", pa.binary()), ("key", pa.binary()), ("chars", pa.int64()), ("owner", pa.int64()), ("copies", pa.int64())])
@@ -188,19 +222,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     group_size. A null id owns a group only if all its ids are null. An empty table gives no rows;
     further columns of `docs` are not looked at.
     """
-    left = keyed(docs, id_col, text_col).select("id", "norm_len", "sha")
-    right = owners(docs, id_col, text_col).select(F.col("norm_len").alias("n"), F.col("sha").alias("s"), "keep_id", "group_size")
-    return left.join(right, (left.norm_len == right.n) & (left.sha == right.s)).select(
-        F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
-    )
+    left = keyed(docs, id_col, text_col).select("id", "sha")
+    found = spread_join(left, written(owners(docs, id_col, text_col), "owners"), "sha", "group_size", by="id")
+    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that own their text, one for each distinct normalised text, with the columns of `docs`."""
+    """The rows of `docs` that own their text, one for each distinct normalised text, with the columns of `docs`.
+
+    Of rows that repeat an id and a text one stays; rows without an id own a text only if no row with an id has it.
+    An empty table gives no rows.
+    """
     text = F.translate(text_of(docs, text_col), WS, "")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), docs[id_col].cast("long").alias("id"), F.char_length(text).cast("long").alias("norm_len"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha"))
-    own = rows.join(owners(docs, id_col, text_col), ["norm_len", "sha"]).where(F.col("id").eqNullSafe(F.col("keep_id")))
-    return own.dropDuplicates(["norm_len", "sha"]).select("row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), docs[id_col].cast("long").alias("id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha"))
+    own = owners(docs, id_col, text_col).select(F.col("sha").alias("s"), F.col("keep_id"))
+    # an owner has one row but where an id repeats, so no group of copies meets in one task
+    kept = rows.join(own, (rows.sha == own.s) & rows.id.eqNullSafe(own.keep_id))
+    return kept.dropDuplicates(["id", "sha"]).select("row.*")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,19 @@
-"""Line deduplication by log templates, by DataFrame functions alone.
+"""Line deduplication by a log-template tree, by DataFrame functions alone.
 
 Lines are sorted into a tree of fixed depth: by their number of tokens, then their two leading tokens.
-Tokens with a digit are variable fields at once (written <*>). Longer lines generalise further: a leaf's
-template leaves either the second or the first half of the tokens after the leading ones open, so lines
-that vary in a name or a phrase within one half still meet. A template that stands in MIN_DOCS documents
-or more is boilerplate: its lines are dropped from all documents but the first (that with the smallest id).
-
-Templates are hashed in the row; each document counts a template once before the shuffle, and counts
-are summed on the map side, so a line that every document has moves one row per task.
+Tokens with a digit are fields at once. In a leaf, a token is fixed at its position where it stands in
+MIN_DOCS of the leaf's lines or more, and in a SHARE of them; any other word is a variable field. A
+line's template is its leaf with the fixed tokens, and fields at the other positions; it counts where
+it has more fixed tokens than variable words. Dropped from all documents but the first (that with the
+smallest id) are
+
+- lines whose template stands in MIN_DOCS documents or more, and
+- lines whose very tokens stand in MIN_COPIES documents or more, whatever their length.
+
+Lines are hashed in the row; each document counts a line once before the shuffle, and counts are
+summed on the map side, so a line that every document has moves one row per task. Tokens are looked at
+only in leaves that MIN_DOCS documents reach. A leaf has at most 1 / SHARE fixed tokens a position.
+Joins on lines, leaves and templates are salted by how many rows they have.
 """
 
 from __future__ import annotations
@@ -15,49 +21,91 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import documents, text_of, written
+from tapeloom.llm.common import documents, spread_join, text_of, written
 
-#: Documents that make a template boilerplate; tokens that a line must have; tokens from which halves are left open.
-MIN_DOCS, MIN_TOKENS, HALVES = 10, 4, 10
+#: Documents that make a template and a literal line boilerplate; the share of a leaf's lines that a fixed token needs.
+MIN_DOCS, MIN_COPIES, SHARE = 10, 2, 0.02
 _GAP = r"[\x20\x09-\x0D]+"
-_FIELD = r"(?<![^\x20\x09-\x0D])[^0-9\x20\x09-\x0D]*+[0-9][^\x20\x09-\x0D]*+"
 
 
-def templates(line: Column) -> Column:
-    """Hashes of the templates of a line: one, two for a long line, none for a short one."""
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once: a lambda binds it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _tokens(line: Column) -> Column:
+    # most lines have only spaces between their tokens
+    return F.array_remove(F.when(line.rlike(r"[\x09-\x0D]"), F.split(line, _GAP)).otherwise(F.split(line, " ")), "")
+
+
+def _field(token: Column) -> Column:
+    return F.when(token.rlike("[0-9]"), F.lit("<*>")).otherwise(token)
+
+
+def places(line: Column) -> Column:
+    """(lit, leaf): hashes of a line's tokens, and of its number of tokens and two leading tokens; null for a line without tokens."""
 
     def of(tokens: Column) -> Column:
-        n = F.size(tokens)
-        mid = F.floor((n + 2) / 2).cast("int")
-        first = F.xxhash64(F.lit("first"), n, F.slice(tokens, F.lit(1), mid))
-        second = F.xxhash64(F.lit("second"), n, F.slice(tokens, F.lit(1), F.lit(2)), F.slice(tokens, mid + 1, n))
-        none = F.array().cast("array<bigint>")
-        return F.when(n < MIN_TOKENS, none).when(n < HALVES, F.array(F.xxhash64(F.lit("whole"), n, tokens))).otherwise(F.array(first, second))
+        leading = F.transform(F.slice(tokens, 1, 2), _field)
+        return F.when(F.size(tokens) > 0, F.struct(F.xxhash64(tokens).alias("lit"), F.xxhash64(F.size(tokens), leading).alias("leaf")))
+
+    return _let(_tokens(line), of)
+
+
+def _marks(keys: Column, fixed: Column) -> Column:
+    """Of each token its hash where it is fixed, -1 for a digit field, 0 for a variable word."""
+    return F.zip_with(keys, fixed, lambda k, at: F.when(k.isNull(), F.lit(-1).cast("long")).when(F.array_contains(at, k), k).otherwise(F.lit(0).cast("long")))
+
 
-    # most lines have no digit and only spaces between their tokens
-    fielded = F.split(F.regexp_replace(line, _FIELD, "<*>"), _GAP)
-    tokens = F.array_remove(F.when(line.rlike(r"[0-9\x09-\x0D]"), fielded).otherwise(F.split(line, " ")), "")
-    # a lambda binds the tokens, so that they are split once
-    return F.get(F.transform(F.array(tokens), of), F.lit(0))
+def _fixed(tokens: DataFrame, leaves: DataFrame, min_docs: int) -> DataFrame:
+    """(leaf, lines, fixed): for each position of a leaf the hashes of its fixed tokens."""
+    counted = tokens.select("leaf", F.posexplode("keys").alias("at", "k")).groupBy("leaf", "at", "k").agg(F.count("*").alias("c"))
+    enough = F.col("k").isNotNull() & (F.col("c") >= min_docs) & (F.col("c") >= SHARE * F.col("lines"))
+    by_place = counted.join(leaves, "leaf").groupBy("leaf", "lines", "at").agg(F.collect_list(F.when(enough, F.col("k"))).alias("fixed"))
+    dense = F.transform(F.array_sort(F.collect_list(F.struct("at", "fixed"))), lambda x: x["fixed"])
+    return by_place.groupBy("leaf", "lines").agg(dense.alias("fixed"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_copies: int = MIN_COPIES) -> DataFrame:
     """One row per input row: `id_col`, text (what stays, lines joined by a line feed), n_lines, n_dropped.
 
-    Null and empty texts are one empty line, which stays. Rows without an id are counted as documents but
-    keep their lines. Rows that repeat an id and a text are counted singly and get the same answer. An
-    empty table gives no rows; further columns of `docs` are not looked at.
+    Null and empty texts are one empty line, which stays, like any line without tokens. Rows without an
+    id are counted as documents but keep their lines. Rows that repeat an id and a text are one document
+    and get the same answer. An empty table gives no rows; further columns of `docs` are not looked at.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("t"))
-    lines = written(rows.select("id", F.xxhash64("t").alias("h"), F.transform(F.split("t", "\n", -1), templates).alias("of")), "templates")
-    once = lines.select("id", F.explode(F.array_distinct(F.flatten("of"))).alias("template"))
-    common = once.groupBy("template").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= min_docs).select("template", "first")
-    places = lines.where("id is not null").select("id", "h", F.posexplode("of").alias("at", "these")).select("id", "h", "at", F.explode("these").alias("template"))
-    drop = places.join(common, "template").where("id != first").groupBy("id", "h").agg(F.collect_set("at").alias("drop"))
-    found = rows.withColumn("h", F.xxhash64("t")).join(drop, ["id", "h"], "left")
-    found = found.select("id", F.split("t", "\n", -1).alias("lines"), F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
+    rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("t")).withColumn("h", F.xxhash64("t"))
+    lines = written(rows.select("id", "h", F.transform(F.split("t", "\n", -1), places).alias("of")).dropDuplicates(["id", "h"]), "lines")
+
+    def shared(key: str, least: int) -> DataFrame:
+        once = lines.select("id", F.explode(F.array_distinct(F.transform("of", lambda x: x[key]))).alias(key)).where(F.col(key).isNotNull())
+        return once.groupBy(key).agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= least)
+
+    every = lines.select("id", "h", F.posexplode("of").alias("at", "x")).where("x is not null").select("id", "h", "at", "x.lit", "x.leaf")
+    copies = written(shared("lit", min_copies).select("lit", "n", "first"), "copies")
+    literal = spread_join(every.where("id is not null").select("id", "h", "at", "lit"), copies, "lit", "n", by="id").where("id != first").select("id", "h", "at")
+
+    # the lines of leaves that enough documents reach, with a hash of each token (null for a digit field)
+    busy = written(shared("leaf", min_docs).select("leaf", "n"), "leaves")
+    chosen = spread_join(every.select("id", "h", "at", "leaf"), busy, "leaf", "n", by="at").groupBy("id", "h").agg(F.collect_set(F.struct("at", "leaf")).alias("chosen"))
+    chosen = chosen.withColumnsRenamed({"id": "i", "h": "g"})
+    found = rows.join(chosen, rows.id.eqNullSafe(chosen.i) & (rows.h == chosen.g)).select("id", "h", F.split("t", "\n", -1).alias("l"), F.explode("chosen").alias("c"))
+    keys = F.transform(_tokens(F.get("l", F.col("c.at"))), lambda w: F.when(~w.rlike("[0-9]"), F.xxhash64(w)))
+    tokens = written(found.select("id", "h", "c.at", "c.leaf", keys.alias("keys")), "tokens")
+    leaves = written(tokens.groupBy("leaf").agg(F.count("*").alias("lines")), "leaf_sizes")
+    fixed = written(_fixed(tokens, leaves, min_docs), "fixed")
+    marked = spread_join(tokens, fixed, "leaf", "lines", by="id").select("id", "h", "at", "leaf", _marks(F.col("keys"), F.col("fixed")).alias("m"))
+    many = lambda hit: F.size(F.filter("m", hit))
+    apt = marked.where(many(lambda x: ~x.isin(0, -1)) > many(lambda x: x == 0))
+    templates = written(apt.select("id", "h", "at", F.xxhash64("leaf", "m").alias("template")), "marked")
+    common = templates.select("id", "h", "template").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= min_docs)
+    common = written(common, "templates")
+    variant = spread_join(templates.where("id is not null"), common, "template", "n", by="id").where("id != first").select("id", "h", "at")
+
+    drop = literal.unionByName(variant).groupBy("id", "h").agg(F.collect_set("at").alias("drop"))
+    out = rows.join(drop, ["id", "h"], "left")
+    out = out.select("id", F.split("t", "\n", -1).alias("lines"), F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
     kept = F.when(F.size("drop") > 0, F.filter("lines", lambda _, i: ~F.array_contains("drop", i))).otherwise(F.col("lines"))
-    return found.select(F.col("id").alias(id_col), F.concat_ws("\n", kept).alias("text"), F.size("lines").cast("long").alias("n_lines"), F.size("drop").cast("long").alias("n_dropped"))
+    return out.select(F.col("id").alias(id_col), F.concat_ws("\n", kept).alias("text"), F.size("lines").cast("long").alias("n_lines"), F.size("drop").cast("long").alias("n_dropped"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,16 +115,24 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = rf"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, pos, lines[pos] AS line FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS pos FROM d)),
-k AS (SELECT doc_id, pos, regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS w FROM l),
-s AS (
-  SELECT doc_id, pos, 'whole' AS kind, len(w) AS n, w AS part FROM k WHERE len(w) >= {MIN_TOKENS} AND len(w) < {HALVES}
-  UNION ALL SELECT doc_id, pos, 'first', len(w), w[1:(len(w) + 2) // 2] FROM k WHERE len(w) >= {HALVES}
-  UNION ALL SELECT doc_id, pos, 'second', len(w), list_concat(w[1:2], w[(len(w) + 2) // 2 + 1:]) FROM k WHERE len(w) >= {HALVES}
-), c AS (SELECT kind, n, part, min(doc_id) AS first FROM s GROUP BY kind, n, part HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
-x AS (SELECT doc_id, list(DISTINCT pos) AS dropped FROM s JOIN c USING (kind, n, part) WHERE doc_id <> first GROUP BY doc_id)
+k AS (SELECT doc_id, pos, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS raw FROM l),
+w AS (SELECT *, len(raw) AS n, list_transform(raw, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN NULL ELSE t END) AS w FROM k WHERE len(raw) > 0),
+copies AS (SELECT raw, min(doc_id) AS first FROM w GROUP BY raw HAVING count(DISTINCT doc_id) >= {MIN_COPIES}),
+leaves AS (SELECT n, w[1:2] AS head, count(*) AS lines FROM w GROUP BY ALL HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+b AS (SELECT doc_id, pos, w.n, w.w, w.w[1:2] AS head, lines FROM w JOIN leaves ON w.n = leaves.n AND w.w[1:2] IS NOT DISTINCT FROM leaves.head),
+t AS (SELECT doc_id, pos, n, head, lines, unnest(w) AS word, unnest(range(1, n + 1)) AS i FROM b),
+f AS (SELECT n, head, i, word FROM t WHERE word IS NOT NULL GROUP BY n, head, i, word, lines HAVING count(*) >= {MIN_DOCS} AND count(*) >= {SHARE} * lines),
+m AS (
+  SELECT doc_id, pos, t.n, t.head, list(CASE WHEN t.word IS NULL THEN '<0>' WHEN f.word IS NULL THEN '<*>' ELSE '=' || t.word END ORDER BY t.i) AS template,
+    count(f.word) AS fixed, count(*) FILTER (WHERE t.word IS NOT NULL AND f.word IS NULL) AS fields
+  FROM t LEFT JOIN f ON t.n = f.n AND t.i = f.i AND t.word = f.word AND t.head IS NOT DISTINCT FROM f.head GROUP BY doc_id, pos, t.n, t.head
+), a AS (SELECT doc_id, pos, template FROM m WHERE fixed > fields),
+c AS (SELECT template, min(doc_id) AS first FROM a GROUP BY template HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+x AS (SELECT doc_id, pos FROM w JOIN copies USING (raw) WHERE doc_id <> first UNION SELECT doc_id, pos FROM a JOIN c USING (template) WHERE doc_id <> first),
+y AS (SELECT doc_id, list(pos) AS dropped FROM x GROUP BY doc_id)
 SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(len(dropped), 0) AS BIGINT) AS n_dropped,
   sha256(coalesce(array_to_string(CASE WHEN dropped IS NULL THEN lines ELSE list_transform(list_filter(range(1, len(lines) + 1), lambda i: NOT list_contains(dropped, i)), lambda i: lines[i]) END, chr(10)), '')) AS text_sha256
-FROM d LEFT JOIN x USING (doc_id)
+FROM d LEFT JOIN y USING (doc_id)
 """
 
 QUERIES = {"op5_line_dedup": op5_line_dedup}

@@ -84,7 +84,23 @@ def test_trie_spills():
         trie.insert(k, owner)
         want[k] = owner if k not in want else exact_dedup.better(want[k], owner)
     assert trie.spilled
-    assert dict(trie.items()) == want
+    got = list(trie.items())
+    assert dict(got) == want and len(got) == len(want)
+
+
+def test_trie_spills_below_a_long_prefix():
+    """A header that all keys share costs its bytes, not a pass a byte."""
+    import time
+
+    took = {}
+    for prefix in (20, 20_000):
+        trie, began = exact_dedup.PatriciaTrie(budget=100_000), time.perf_counter()
+        keys = [b"h" * prefix + str(i * 7919 % 3000).encode() * 20 for i in range(3000)]
+        for i, k in enumerate(keys):
+            trie.insert(k, (0, False, i, 1, 0, b""))
+        assert trie.spilled and sorted(k for k, _ in trie.items()) == sorted(set(keys))
+        took[prefix] = time.perf_counter() - began
+    assert took[20_000] < 20 * took[20] + 2, took
 
 
 @pytest.mark.parametrize("k", [2, 5])
@@ -387,13 +403,56 @@ def test_warc(spark, tmp_path):
     assert warc.read_warc(spark, f"{tmp_path}/f").where("record_id = 'urn:x'").count() == 5
 
 
+def _deduped(spark, texts, **more):
+    d = spark.createDataFrame([*enumerate(texts), *more.get("extra", [])], "doc_id long, text string")
+    return {r["doc_id"]: r for r in rows(line_dedup.line_dedup(d))}
+
+
 def test_line_dedup(spark, docs, empty):
     assert line_dedup.line_dedup(empty).count() == 0 and line_dedup.line_dedup(docs).count() == len(TEXTS)
-    texts = [(i, f"own line of document number {'abcdefghijklmnop'[i]}\n\nread {i} more in our shop\nwe thank our reader {'xyz'[i % 3] * (i + 1)} for coming by to see us here today") for i in range(12)]
-    got = {r["doc_id"]: r for r in rows(line_dedup.line_dedup(spark.createDataFrame([*texts, (None, texts[0][1])], "doc_id long, text string")))}
-    assert got[0]["text"] == texts[0][1] and got[None]["n_dropped"] == 0
+    names = "Anna Jan Mia Ole Ute Max Ida Tom Eva Kai Lea Ben".split()
+    days = "Monday Tuesday Friday".split()
+    texts = [f"{n.lower()}{n} wrote alone\n\nread {i} more in our shop\nPosted by {n} on {days[i % 3] * (i + 1)}\n{n} {n}x {n}y {n}z\nRead more" for i, n in enumerate(names)]
+    got = _deduped(spark, texts, extra=[(None, texts[0])])
+    assert got[0]["text"] == texts[0] and got[None]["n_dropped"] == 0
     for i in range(1, 12):
-        assert got[i]["text"] == "\n".join(texts[i][1].split("\n")[:2]) and got[i]["n_dropped"] == 2
+        own = texts[i].split("\n")
+        assert got[i]["text"] == "\n".join([own[0], own[1], own[4]]) and got[i]["n_dropped"] == 3
+
+
+def test_line_dedup_generalises_any_position(spark):
+    """One name in each half of a line; and lines that share their leading tokens only, which stay."""
+    texts = [f"our user u{chr(97 + i) * 3} in the forum for garden tools replied to v{chr(97 + i) * 2} late at night\nIn the {chr(97 + i)}x {chr(97 + i)}y" for i in range(14)]
+    got = _deduped(spark, texts)
+    assert [got[i]["n_dropped"] for i in range(14)] == [0] + [1] * 13
+    assert all(got[i]["text"] == texts[i].split("\n")[1] for i in range(1, 14))
+    few = _deduped(spark, texts[:9])
+    assert all(few[i]["n_dropped"] == 0 for i in range(9))
+
+
+def test_line_dedup_literal_copies(spark):
+    """A passage of over 50 words in two documents goes from the second; white space within it doesn't matter; repeats within a document stay."""
+    passage = " ".join(f"word{chr(97 + i % 26)}{i // 26}" for i in range(60))
+    got = _deduped(spark, [f"a b\n{passage}\na b", f"c\n {passage.replace(' ', '  ', 3)}", "a  b", None, " ", ""])
+    assert [got[i]["n_dropped"] for i in range(6)] == [0, 1, 1, 0, 0, 0] and got[1]["text"] == "c" and got[2]["text"] == ""
+
+
+def test_line_dedup_matches_sql(spark):
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    want = {r[0]: r[1:] for r in c.execute(f"SELECT doc_id, n_lines, n_dropped, text_sha256 FROM ({line_dedup.OP5_SQL})").fetchall()}
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text_sha256"]) for r in rows(line_dedup.op5_line_dedup(spark, DATA))}
+    assert got == want and any(x[1] for x in want.values())
+
+
+def test_spread_join_is_a_join(spark, monkeypatch):
+    from tapeloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", 5)
+    left = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(90)], "id long, k long")
+    right = written(left.groupBy("k").agg(F.count("*").alias("n")).where("k % 2 = 0"), "right")
+    assert sorted(map(tuple, common.spread_join(left, right, "k", "n", by="id").collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+    assert common.spread_join(left, right.where("false"), "k", "n", by="id").count() == 0
 
 
 def test_registry():

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import documents, free_memory, text_of, written
+from tapeloom.llm.common import documents, free_memory, spread_join, text_of, written
 
 T, ROWS = 128, 4
 BANDS = T // ROWS
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).cast("binary").alias("text"))
     feats = written(rows.mapInArrow(lambda it: _sketched(it, k), "id long, n long, sig binary, bands array<long>"), "sketches")
-    classes = feats.where("id is not null").groupBy("sig").agg(F.min("id").alias("rep"))
+    classes = written(feats.where("id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "classes")
     reps = written(feats.where("n > 0").select("id", "bands").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.explode("bands").alias("key")).distinct(), "bands")
     crowded = reps.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     multi = written(reps.join(crowded, "key"), "buckets")
@@ -234,11 +234,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     more = written(more, "links")
     comps = first if more.isEmpty() else components(links.union(more))
 
-    by_class = classes.join(comps, classes.rep == comps.id, "left").select(F.col("sig").alias("s"), F.coalesce("comp", "rep").alias("comp"))
-    out = feats.join(by_class, feats.sig == by_class.s, "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id"))).alias("component_id")
-    )
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    by_class = classes.join(comps, classes.rep == comps.id, "left").select("sig", "size", F.coalesce("comp", "rep").alias("comp"))
+    known = spread_join(feats.where("id is not null").select("id", "n", "sig"), written(by_class, "by_class"), "sig", "size", by="id")
+    found = known.select("id", "n", F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id")).alias("comp")).unionByName(feats.where("id is null").select("id", "n", F.lit(None).cast("long").alias("comp")))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("id") == F.col("comp"), F.lit(True)).alias("kept"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

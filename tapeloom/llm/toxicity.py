@@ -19,14 +19,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm.common import documents, free_memory, text_of
+from tapeloom.llm.common import documents, free_memory, text_of, written
 
-#: Labelled rows that are learnt from at most: those with the smallest hash of their id.
-SAMPLE = 6000
+#: Labelled rows that are learnt from at most, those with the smallest hash of their id; and bytes of text they may have together.
+SAMPLE, SAMPLE_BYTES = 6000, 48 << 20
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE, SEED = 12, 48, 0.15, 7
 #: Small samples are gone over more often, up to this many updates.
@@ -105,16 +105,16 @@ def _layout(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
 def train(texts: list[bytes], labels: np.ndarray, seed: int = SEED, epochs: int = EPOCHS) -> Model:
     """Fits on four fifths of the texts, calibrates by language on the rest."""
     rng = np.random.default_rng(seed)
-    words = [words_of(t) for t in texts]
-    cache: dict[bytes, tuple] = {}
-    rows = []
-    for ws in words:
-        for w in ws:
-            if w not in cache:
-                cache[w] = buckets_of(w)
-        rows.append(np.array([cache[w] for w in ws] or [(0, 0, 0)], np.int32))
     order = rng.permutation(len(texts))
     held, fit = order[: len(order) // 5], order[len(order) // 5 :]
+    # a text is the numbers of its words, which the table turns into rows of the embedding; word 0 is the padding
+    number: dict[bytes, int] = {}
+    rows = {}
+    for d in sorted(fit.tolist()):
+        ws = words_of(texts[d])
+        rows[d] = np.fromiter((number.setdefault(w, len(number) + 1) for w in ws), np.int32, len(ws)) if ws else np.zeros(1, np.int32)
+    table = np.array([(0, 0, 0), *map(buckets_of, number)], np.int32)
+    number.clear()
     m = Model(
         rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32),
         {w: rng.normal(0, 0.4, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS},
@@ -138,9 +138,10 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = SEED, epochs: int
             docs = fit[at : at + BATCH]
             y = labels[docs].astype(np.float32)
             starts, ends = _layout([len(rows[d]) for d in docs])
-            ids = np.zeros((ends[-1] + PAD, 3), np.int32)
+            words = np.zeros(ends[-1] + PAD, np.int32)
             for d, s, e in zip(docs, starts, ends):
-                ids[s:e] = rows[d]
+                words[s:e] = rows[d]
+            ids = table[words]
             x = m.embedding[ids].sum(1)
             best = []
             pooled = np.empty((len(docs), len(m.bias)), np.float32)
@@ -174,15 +175,17 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = SEED, epochs: int
             squares["e"][idx] += (g * g).mean(1)
             m.embedding[idx] -= RATE * g / np.sqrt(squares["e"][idx])[:, None]
             m.embedding[0] = 0
-    m.offsets = _calibrated(m, [words[i] for i in held], labels[held])
+    rows.clear()
+    m.offsets = _calibrated(m, [texts[i] for i in held], labels[held])
     return m
 
 
-def _calibrated(m: Model, words: list[list[bytes]], labels: np.ndarray) -> np.ndarray:
+def _calibrated(m: Model, texts: list[bytes], labels: np.ndarray) -> np.ndarray:
     """Per language the cut between the classes with fewest errors (the middle of such cuts); languages with few rows take that of all."""
     scorer = Scorer(m)
-    z = np.concatenate([scorer.logits(words[i : i + 200]) for i in range(0, len(words), 200)]) if words else np.empty(0)
-    lang = np.array([language_of(w) for w in words])
+    parts = [scorer.read([words_of(t) for t in texts[i : i + 200]]) for i in range(0, len(texts), 200)]
+    z = np.concatenate([x for x, _ in parts]) if parts else np.empty(0)
+    lang = np.concatenate([x for _, x in parts]) if parts else np.empty(0, int)
 
     def cut(z: np.ndarray, y: np.ndarray, near: float) -> float:
         cuts = np.concatenate(([z.min() - 1], (np.sort(z)[1:] + np.sort(z)[:-1]) / 2, [z.max() + 1]))
@@ -282,13 +285,28 @@ def held_out(id_: Column) -> Column:
     return F.crc32(id_.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learns from at most `sample` labelled rows that are not held out, chosen by a hash of their id."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Learns from at most `sample` labelled rows that are not held out, chosen by a hash of their id, and at most `sample_bytes` of text.
+
+    An id that is labelled more than once counts as its highest label. Rows of `docs` that repeat an id are all learnt
+    from, within the bytes. Without a labelled row, or with one class, the model scores all texts alike.
+    """
     known = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("label")).where("id is not null and label is not null").where(~held_out(F.col("id")))
-    chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
+    known = written(known.groupBy("id").agg(F.max("label").alias("label")).withColumn("h", F.xxhash64("id")), "labelled")
+    # a cut by the hash first, so that no task hands on more than its share of the sample
+    n, low, width = known.count(), -(2.0**63), 2.0**64
+    near = known.where(F.col("h").cast("double") <= low + width * min(1.0, (1.2 * sample + 100) / max(1, n)))
+    chosen = written(near.orderBy("h", "id").limit(sample).repartition(1), "sample")
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).cast("binary").alias("text"))
-    found = rows.join(F.broadcast(chosen), "id").orderBy("id", "text").collect()  # the broadcast and the result hold `sample` rows
-    return train([bytes(r["text"]) for r in found], np.array([r["label"] for r in found], np.int64))
+    found = written(rows.join(F.broadcast(chosen), "id"), "sample_texts")  # the broadcast holds `sample` rows of three numbers
+    sizes = found.select("h", "id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("of")).groupBy("h", "id", "of").agg(F.sum("size").alias("size"))
+    run = sizes.withColumn("run", F.sum("size").over(Window.orderBy("h", "id", "of").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("run") <= sample_bytes)
+    kept = found.withColumn("of", F.xxhash64("text")).join(run.select("id", "of"), ["id", "of"], "left_semi")
+    texts, marks = [], []
+    for r in kept.select("h", "id", "text", "label").orderBy("h", "id", "text").toLocalIterator():
+        texts.append(bytes(r["text"]))
+        marks.append(r["label"])
+    return train(texts, np.array(marks, np.int64))
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding with sampled segmentations, without replacement.
 
 A text is a lattice: words begin at spaces (written as U+2581, one more before the text), pieces never
-span two words, characters without a piece fall back to their UTF-8 bytes. A piece of rank r in the
+span two words, characters without a piece, and U+2581 itself, fall back to their UTF-8 bytes. A piece of rank r in the
 vocabulary weighs (r + 3) ** -ALPHA, a segmentation the product of its pieces; normalised, that is the
 distribution sampled from. The k segmentations with the largest Gumbel-perturbed log-probability are k
 distinct samples without replacement; they are found without perturbing every segmentation:
@@ -39,8 +39,8 @@ from tapeloom.llm.near_dedup import _mix
 SPACE = "▁"
 K, ALPHA, SEED = 2, 1.0, 11
 SLICE = 4 << 20
-#: Words of up to so many characters are listed in full where chance would take long.
-LISTED = 16
+#: Draws of a departing word that chance gets before it is drawn from the lattice without what its set excludes.
+CHANCES = 3
 _BASE, _SLOT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _C = [np.uint64(c) for c in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 _BITS = 20
@@ -104,6 +104,9 @@ class Lattice:
         c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
         size = np.fromiter(map(len, words), np.int64, len(words)) + 1
         self.first, n = np.cumsum(size) - size, len(c)
+        written = c == np.uint64(ord(SPACE) + 1)  # the character itself in a text is in no piece: it goes by its bytes
+        written[self.first] = False
+        c[written] = np.uint64(0x110002)
         left = np.repeat(self.first + size, size) - np.arange(n)  # characters to the word's end
         self.ids = np.full((n, wide), -1, np.int32)
         at, h, used = np.arange(n), np.zeros(n, np.uint64), 1
@@ -129,6 +132,7 @@ class Lattice:
         bounds = np.flatnonzero(np.diff(left[order], prepend=0, append=left.max(initial=0) + 1))
         inside = np.arange(1, wide + 1)
         self.log_p = np.full((n, wide), -np.inf, np.float32)
+        self.other = np.zeros((n, wide), np.float32)  # probability of the other lengths, added up: exact where it is next to nothing
         self.cumulated = np.empty((wide, n), np.float32)  # by length, so that a draw reads only as far as it goes
         for lo, hi in zip(bounds[:-1], bounds[1:]):
             p = order[lo:hi]
@@ -138,14 +142,18 @@ class Lattice:
             top = x.max(1)
             beta[p] = top + np.log(np.exp(x - top[:, None]).sum(1))
             self.log_p[p, :m] = x = x - beta[p][:, None]
-            self.cumulated[:m, p] = run = np.cumsum(np.exp(x), 1).T
-            self.cumulated[m:, p] = run[-1]
+            e = np.exp(x)
+            run = np.cumsum(e, 1)
+            self.cumulated[:m, p], self.cumulated[m:, p] = run.T, run[:, -1]
+            self.other[p, 1:m] = run[:, :-1]
+            self.other[p, : m - 1] += np.cumsum(e[:, :0:-1], 1)[:, ::-1]
         self.end = self.first + size
 
-    def draw(self, word: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Segmentations of these words, seeded by these keys: log-probabilities, cuts as piece lengths laid end to end, how many each."""
+    def draw(self, word: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Segmentations of these words, seeded by these keys: log-probabilities, the probabilities of all other segmentations,
+        cuts as piece lengths laid end to end, how many each."""
         at, end = self.first[word].copy(), self.end[word]
-        log_p, steps = np.zeros(len(word)), []
+        log_p, rest_p, steps = np.zeros(len(word)), np.zeros(len(word)), []
         live, k = np.arange(len(word)), 0
         while len(live):
             u = (_mix(key[live] + _times(k, 3)) >> np.uint64(11)).astype(np.float64) / 2.0**53
@@ -157,6 +165,7 @@ class Lattice:
                     break
                 rest, x, goal = rest[beyond], x[beyond], goal[beyond]
                 take[rest] += 1
+            rest_p[live] += np.exp(log_p[live]) * self.other[p, take]
             log_p[live] += self.log_p[p, take]
             steps.append((live, take.astype(np.uint8)))
             at[live] = p + take + 1
@@ -167,20 +176,59 @@ class Lattice:
         start, out = np.cumsum(count) - count, np.empty(count.sum(), np.uint8)
         for k, (live, take) in enumerate(steps):
             out[start[live] + k] = take
-        return log_p, out, count
+        return log_p, rest_p, out, count
 
-    def all_of(self, word: int) -> tuple[list[bytes], np.ndarray]:
-        """Every segmentation of one word as piece lengths, with its log-probability."""
-        found, logs, stack = [], [], [(int(self.first[word]), b"", 0.0)]
+    def _excluded(self, word: int, excluded: list[bytes]) -> list[tuple[int, float, dict[int, int]]]:
+        """The tree of excluded segmentations, parents first: (position, probability of getting there, length -> child or -1 for the end)."""
+        nodes: list[tuple[int, float, dict[int, int]]] = []
+        stack = [(int(self.first[word]), 1.0, [(x, 0) for x in excluded], None, 0)]
         while stack:
-            p, cuts, log_p = stack.pop()
-            if p == self.end[word]:
-                found.append(cuts)
-                logs.append(log_p)
-                continue
-            for take in np.flatnonzero(np.isfinite(self.log_p[p])):
-                stack.append((p + int(take) + 1, cuts + bytes([take]), log_p + float(self.log_p[p, take])))
-        return found, np.array(logs)
+            p, mass, group, parent, by = stack.pop()
+            if parent is not None:
+                nodes[parent][2][by] = len(nodes)
+            below: dict[int, list] = {}
+            for x, i in group:
+                below.setdefault(x[i], []).append((x, i + 1))
+            nodes.append((p, mass, dict.fromkeys(below, -1)))
+            for take, these in below.items():
+                if p + take + 1 < self.end[word]:
+                    stack.append((p + take + 1, mass * float(np.exp(self.log_p[p, take])), these, len(nodes) - 1, take))
+        return nodes
+
+    def _open(self, p: int, takes) -> float:
+        if len(takes) == 1:
+            return float(self.other[p, next(iter(takes))])
+        e = np.exp(self.log_p[p].astype(np.float64))
+        e[list(takes)] = 0
+        return float(e.sum())
+
+    def mass_without(self, word: int, excluded: list[bytes]) -> float:
+        """Probability of all segmentations of a word but these, from sums alone."""
+        return sum(mass * self._open(p, takes) for p, mass, takes in self._excluded(word, excluded))
+
+    def draw_without(self, word: int, excluded: list[bytes], key: np.ndarray) -> tuple[float, bytes] | None:
+        """A segmentation other than these: log-probability and cuts; None where there is no other."""
+        nodes = self._excluded(word, excluded)
+        left = [0.0] * len(nodes)
+        for i in reversed(range(len(nodes))):
+            p, _, takes = nodes[i]
+            left[i] = self._open(p, takes) + sum(float(np.exp(self.log_p[p, t])) * left[c] for t, c in takes.items() if c >= 0)
+        if left[0] <= 0:
+            return None
+        p, node, cuts, log_p = int(self.first[word]), 0, bytearray(), 0.0
+        while p < self.end[word]:
+            weight = np.exp(self.log_p[p].astype(np.float64))
+            if node >= 0:
+                for t, c in nodes[node][2].items():
+                    weight[t] *= left[c] if c >= 0 else 0.0
+            u = float((_mix(key + _times(len(cuts), 3)) >> np.uint64(11))[0]) / 2.0**53
+            run = np.cumsum(weight)
+            take = min(int(np.searchsorted(run, u * run[-1], "right")), int(np.flatnonzero(weight)[-1]))
+            node = nodes[node][2].get(take, -1) if node >= 0 else -1
+            log_p += float(self.log_p[p, take])
+            cuts.append(take)
+            p += take + 1
+        return log_p, bytes(cuts)
 
     def tokens(self, word: np.ndarray, cuts: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of segmented words, and how many per word; bytes count singly."""
@@ -213,20 +261,20 @@ def _gumbel(key: np.ndarray) -> np.ndarray:
 
 def _cut_off(g: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A Gumbel value g conditioned on being at most `at`."""
-    return np.minimum(at, g) - np.log1p(np.exp(-np.abs(at - g)))
+    with np.errstate(invalid="ignore"):
+        return np.minimum(at, g) - np.log1p(np.exp(-np.abs(at - g)))
 
 
-def _rest(log_p: np.ndarray) -> np.ndarray:
-    """log(1 - exp(log_p))."""
+def _log(mass: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
-        return np.where(log_p > -1e-6, -np.inf, np.log(-np.expm1(np.minimum(log_p, -1e-12))))
+        return np.log(mass)
 
 
 class _Sample:
     """One drawn segmentation of every live text, and the sets that split off from it, one per word."""
 
-    def __init__(self, log_p, cuts, count, value, bound):
-        self.log_p, self.cuts, self.count, self.value, self.bound, self.starts = log_p, cuts, count, value, bound, None
+    def __init__(self, log_p, rest, cuts, count, value, bound):
+        self.log_p, self.rest, self.cuts, self.count, self.value, self.bound, self.starts = log_p, rest, cuts, count, value, bound, None
 
 
 def sample(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
@@ -254,13 +302,13 @@ def sample(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k: int) -
         return s - s[starts[text]]
 
     # drawn[s]: the s-th segmentation of every text (as copied from its parent before the word it departs at)
-    log_p, cuts, count = lattice.draw(word, _mix(keyed + _C[1]))
+    log_p, rest, cuts, count = lattice.draw(word, _mix(keyed + _C[1]))
     value = np.full(len(texts), -np.inf)
     value[has] = _gumbel(keys[has] + _C[2])
-    mass = before(log_p) + _rest(log_p)
+    mass = before(log_p) + _log(rest)
     bound = _cut_off(mass + _gumbel(keyed + _C[2]), value[text])
     bound[~np.isfinite(mass)] = -np.inf
-    drawn, excluded = [_Sample(log_p, cuts, count, value, bound)], {}
+    drawn, excluded = [_Sample(log_p, rest, cuts, count, value, bound)], {}
     found = has
     for s in range(1, k + 1):
         best = np.array([np.maximum.reduceat(d.bound, seg) for d in drawn])
@@ -281,40 +329,37 @@ def sample(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k: int) -
         fresh = np.flatnonzero((depart[text] >= 0) & (mine > depart[text]))
         turns = np.flatnonzero(depart >= 0)
         at = depart[turns]
-        t_log, t_cuts, t_count = lattice.draw(word[at], _mix(keyed[at] + _times(s + 1, 1)))
+        t_log, t_rest, t_cuts, t_count = lattice.draw(word[at], _mix(keyed[at] + _times(s + 1, 1)))
         pieces = np.split(t_cuts, np.cumsum(t_count)[:-1]) if len(turns) else []
         outs = [excluded.setdefault((int(parent[t]), int(m)), {_cuts_at(drawn[parent[t]], m).tobytes(): drawn[parent[t]].log_p[m]}) for t, m in zip(turns, at)]
         again, tries = range(len(turns)), 0
         while again := [i for i in again if pieces[i].tobytes() in outs[i]]:  # the departing word must differ from what its set excludes
             tries += 1
-            if tries == 32:
-                for i in [i for i in again if lattice.end[word[at[i]]] - lattice.first[word[at[i]]] <= LISTED]:
-                    # what is left has little mass: it is drawn from a list of all
-                    again.remove(i)
-                    m, (every, logs) = at[i], lattice.all_of(int(word[at[i]]))
-                    logs = np.where([e in outs[i] for e in every], -np.inf, logs)
-                    if not np.isfinite(logs).any():
-                        value[turns[i]] = -np.inf  # rounding left mass where there is none
+            if tries > CHANCES:
+                for i in again:
+                    m = at[i]
+                    if (got := lattice.draw_without(int(word[m]), list(outs[i]), _mix(keyed[m : m + 1] + _times((s + 1) << 32, 1)))) is None:
+                        value[turns[i]] = -np.inf  # no other segmentation: nothing is drawn
                         continue
-                    pick = int(np.argmax(logs + _gumbel(_mix(keyed[m : m + 1] + _times(s + 1, 1)) + np.arange(len(logs), dtype=np.uint64) * _C[3])))
-                    t_log[i], pieces[i], t_count[i] = logs[pick], np.frombuffer(every[pick], np.uint8), len(every[pick])
-            more, cut, size = lattice.draw(word[at[again]], _mix(keyed[at[again]] + _times((s + 1) << 32 | tries, 1)))
+                    t_log[i], pieces[i], t_count[i] = got[0], np.frombuffer(got[1], np.uint8), len(got[1])
+                break
+            more, _, cut, size = lattice.draw(word[at[again]], _mix(keyed[at[again]] + _times((s + 1) << 32 | tries, 1)))
             t_log[again], t_count[again] = more, size
             for i, x in zip(again, np.split(cut, np.cumsum(size)[:-1])):
                 pieces[i] = x
         for i, t in enumerate(turns):
             m, src, out = int(at[i]), drawn[parent[t]], outs[i]
             out[pieces[i].tobytes()] = t_log[i]
-            rest = 1 - sum(np.exp(x) for x in out.values())
+            rest = lattice.mass_without(int(word[m]), list(out))
             base = src.log_p[starts[t] : m].sum()
             # what is left of the parent's set; its bound follows that of the set just opened
-            src.bound[m] = _cut_off(base + np.log(rest) + _gumbel(keyed[m : m + 1] + _times(s + 1, 2)), value[t : t + 1])[0] if rest > 1e-6 and np.isfinite(value[t]) else -np.inf
-        new = ((fresh, *lattice.draw(word[fresh], _mix(keyed[fresh] + _times(s + 1, 1)))), (at, t_log, np.concatenate(pieces) if pieces else np.empty(0, np.uint8), t_count))
-        log_p, count, source_cuts = _assemble(drawn, parent, text, new)
-        mass = before(log_p) + _rest(log_p)
+            src.bound[m] = _cut_off(base + np.log(rest) + _gumbel(keyed[m : m + 1] + _times(s + 1, 2)), value[t : t + 1])[0] if rest > 0 and np.isfinite(value[t]) else -np.inf
+        new = ((fresh, *lattice.draw(word[fresh], _mix(keyed[fresh] + _times(s + 1, 1)))), (at, t_log, t_rest, np.concatenate(pieces) if pieces else np.empty(0, np.uint8), t_count))
+        log_p, rest, count, source_cuts = _assemble(drawn, parent, text, new)
+        mass = before(log_p) + _log(rest)
         bound = _cut_off(mass + _gumbel(keyed + _times(s + 1, 3)), value[text])
         bound[~np.isfinite(mass) | (depart[text] < 0) | (mine <= depart[text])] = -np.inf  # before the departure, and at it, the sets are the parent's
-        drawn.append(_Sample(log_p, source_cuts, count, value, bound))
+        drawn.append(_Sample(log_p, rest, source_cuts, count, value, bound))
     for s, d in enumerate(drawn):
         ids, size = lattice.tokens(word, d.cuts, d.count)
         to = np.concatenate(([0], np.cumsum(size)))
@@ -337,26 +382,26 @@ def _cuts_at(d: _Sample, m: int) -> np.ndarray:
     return d.cuts[first : first + d.count[m]]
 
 
-def _assemble(drawn: list[_Sample], parent: np.ndarray, text: np.ndarray, new: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _assemble(drawn: list[_Sample], parent: np.ndarray, text: np.ndarray, new: tuple) -> tuple[np.ndarray, ...]:
     """Words before the departure from the parent sample, the departing ones and those after as drawn afresh."""
-    log_p, count, kept = np.empty(len(text)), np.empty(len(text), np.int64), np.ones(len(text), bool)
-    for at, n_log, _, n_count in new:
-        log_p[at], count[at], kept[at] = n_log, n_count, False
+    log_p, rest, count, kept = np.empty(len(text)), np.empty(len(text)), np.empty(len(text), np.int64), np.ones(len(text), bool)
+    for at, n_log, n_rest, _, n_count in new:
+        log_p[at], rest[at], count[at], kept[at] = n_log, n_rest, n_count, False
     sources = []
     for p, d in enumerate(drawn):
         old = np.flatnonzero(kept & (parent[text] == p)) if len(drawn) > 1 else np.flatnonzero(kept)
-        log_p[old], count[old] = d.log_p[old], d.count[old]
+        log_p[old], rest[old], count[old] = d.log_p[old], d.rest[old], d.count[old]
         sources.append((old, d.cuts, _starts(d)[old]))
     start = np.cumsum(count) - count
     cuts = np.empty(int(count.sum()), np.uint8)
-    for at, _, n_cuts, n_count in new:
+    for at, _, _, n_cuts, n_count in new:
         sources.append((at, n_cuts, np.cumsum(n_count) - n_count))
     for at, flat, first in sources:
         c = count[at]
         run = np.cumsum(c) - c
         within = np.arange(c.sum())
         cuts[within + np.repeat(start[at] - run, c)] = flat[within + np.repeat(first - run, c)]
-    return log_p, count, cuts
+    return log_p, rest, count, cuts
 
 
 def decode(vocabulary: Vocabulary, ids) -> str:
@@ -389,7 +434,7 @@ def _segmented(batches: Iterator[pa.RecordBatch], path: str, k: int, seed: int,
             keys = np.array([xxhash.xxh3_64_intdigest(str(i).encode(), seed) for i in ids], np.uint64)
             rows = []
             for t, s, got, log_p, value, inclusion in sample(v, texts, keys, k):
-                same = b"".join([v.output[i] for i in got.tolist()])[1:] == texts[t].replace(SPACE, " ").encode("utf-8", "surrogatepass")
+                same = b"".join([v.output[i] for i in got.tolist()])[1:] == texts[t].encode("utf-8", "surrogatepass")
                 rows.append((ids[t], s, len(got), zlib.crc32(got.astype("<u4").tobytes()), log_p, value, inclusion, same, *([got] * with_ids)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 

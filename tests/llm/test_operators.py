@@ -1,6 +1,7 @@
 """Operators of the llm subpackage: awkward rows, and brute force where SQL has no answer."""
 
 import hashlib
+import math
 import re
 import zlib
 from itertools import combinations
@@ -372,6 +373,29 @@ def test_segmentation_is_sampling_without_replacement():
         assert abs(sum(g[1][0] == s for g in got.values()) / n - second) < 0.05
 
 
+def test_segmentation_loses_no_sample():
+    """Words of which one segmentation has next to all the mass give all the samples they have, without a repeat."""
+    v = segmentation.vocabulary(segmentation.piece_bpe())
+    ids = {p: i for i, p in enumerate(v.pieces) if np.isfinite(v.weight[i])}
+
+    def ways(w):
+        n = [1] + [0] * len(w)
+        for j in range(1, len(w) + 1):
+            n[j] = sum(n[i] for i in range(j) if w[i:j] in ids or j - i == 1 and w[i:j] not in ids)
+        return n[-1]
+
+    texts = ["the", "a", "zqxjzqxj", "x", "the a", "of", "\u2581", "a\u2581b", "", "x" * 3000, "nation " * 40]
+    for k in (2, 5, 12):
+        got = {}
+        for t, s, x, log_p, value, inclusion in segmentation.sample(v, texts, np.arange(len(texts), dtype=np.uint64) * np.uint64(2**40 + 7), k):
+            got.setdefault(t, []).append((tuple(x.tolist()), value))
+            assert segmentation.decode(v, x) == texts[t] and inclusion <= 0
+        for t, text in enumerate(texts):
+            most = math.prod(ways("\u2581" + w.replace("\u2581", "\0")) for w in text.split(" ")) if text else 1
+            assert len({x for x, _ in got[t]}) == len(got[t]) == min(k, most), (text, k, len(got[t]))
+            assert [x for _, x in got[t]] == sorted((x for _, x in got[t]), reverse=True)
+
+
 def test_segmentation_round_trips(docs):
     got = segmentation.segmentations(docs, segmentation.piece_bpe())
     found = rows(segmentation.decoded(got, segmentation.piece_bpe()))

@@ -20,6 +20,16 @@ def asof_left(left: DataFrame, right: DataFrame, key: str, left_time: str, right
     return found.select("_row.*", *(F.col(f"_x.{c}").alias(c) for c in columns))
 
 
+def asof_right(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, columns: list[str]) -> DataFrame:
+    """`left` with the first `columns` of `right` at or after its time: one shuffle on the key, no range join."""
+    none = F.lit(None)
+    b = right.select(F.col(key), F.col(right_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*columns).alias("_x"))
+    a = left.select(F.col(key), F.col(left_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*left.columns).alias("_row"), none.cast(b.schema["_x"].dataType).alias("_x"))
+    w = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing)
+    found = a.unionByName(b.withColumn("_row", none.cast(a.schema["_row"].dataType))).withColumn("_x", F.first("_x", ignorenulls=True).over(w)).where("_side = 0")
+    return found.select("_row.*", *(F.col(f"_x.{c}").alias(c) for c in columns))
+
+
 def average_rank(x: str, *by: str) -> Column:
     """Rank with ties averaged, within `by`."""
     return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count(x).over(Window.partitionBy(*by, x)) - 1) / 2
@@ -54,6 +64,18 @@ def exponential_mean(rows: DataFrame, columns: dict[str, tuple[str, float]]) ->
     return rows.groupBy("code").applyInPandas(f, schema)
 
 
+def macd(rows: DataFrame, fast: int = 12, slow: int = 26, smooth: int = 9) -> DataFrame:
+    """(code, date, line, signal): the difference of two recursive means of `close`, and its recursive mean, in one pass a code."""
+    mean = lambda x, n: x.ewm(alpha=2 / (n + 1), adjust=False).mean()
+
+    def f(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("date")
+        line = mean(g["close"], fast) - mean(g["close"], slow)
+        return g[["code", "date"]].assign(line=line, signal=mean(line, smooth))
+
+    return rows.groupBy("code").applyInPandas(f, T.StructType([rows.schema["code"], rows.schema["date"], T.StructField("line", T.DoubleType()), T.StructField("signal", T.DoubleType())]))
+
+
 def drawdown(bars: DataFrame, x: str = "close") -> DataFrame:
     peak = F.max(x).over(by_code().rowsBetween(Window.unboundedPreceding, 0))
     return bars.withColumn("drawdown", over(F.col(x) - peak, peak))

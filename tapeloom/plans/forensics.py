@@ -24,7 +24,7 @@ RATIOS = {
     "z03_aqi": f"least(greatest(coalesce(coalesce(greatest(assets - current_assets - ppe, 0.0) / nullif(assets, 0), 0.2) / nullif(coalesce(greatest(lag(assets) {_LAST} - lag(current_assets) {_LAST} - lag(ppe) {_LAST}, 0.0) / nullif(lag(assets) {_LAST}, 0), 0.2), 0), 1.0), 0.2), 5.0)",
     "z05_depreciation": f"least(greatest(least(greatest(coalesce(coalesce(lag(depreciation) {_LAST} / nullif(lag(ppe) {_LAST} + lag(depreciation) {_LAST}, 0), 0.05) / nullif(coalesce(depreciation / nullif(ppe + depreciation, 0), 0.05), 0), 1.0), 0.2), 5.0) - 1 + 2 * least(greatest(coalesce(cip / nullif(assets, 0), 0), 0.0), 1.0), -0.8), 5.0)",
     "f48_income_growth": f"CASE WHEN lag(net_income) {_LAST} > 0 THEN net_income / lag(net_income) {_LAST} - 1 END",
-    "f49_income_cagr3": f"CASE WHEN lag(net_income, 3) {_LAST} > 0 AND net_income > 0 THEN pow(net_income / lag(net_income, 3) {_LAST}, 1 / 3.0) - 1 END",
+    "f49_income_cagr3": f"CASE WHEN lag(net_income, 3) {_LAST} > 0 AND net_income > 0 THEN pow(net_income / lag(net_income, 3) {_LAST}, cast(1 as double) / 3) - 1 END",
 }
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from tapeloom.functions import factors as fx
 from tapeloom.functions.windows import by_code, over, rounded, rounded_sql, trailing
 from tapeloom.operators import frames as op
-from tapeloom.plans import expressions, forensics, portfolio  # noqa: F401 (they register queries)
+from tapeloom.plans import expressions, forensics, portfolio, rules  # noqa: F401 (they register queries)
 from tapeloom.plans.catalog import oracle_sql, queries, query  # noqa: F401
 from tapeloom.sources import market as m
 from tapeloom.streaming import events
@@ -136,12 +136,6 @@ def asof_statements(spark, d):
     return j.select("code", "date", "report_date", rounded(F.col("revenue"), 2).alias("revenue"), rounded(over(F.col("revenue"), F.col("close")), 4).alias("revenue_to_price"))
 
 
-@query("f43_trailing_year", f"WITH {m.SQL}, {m.STATEMENTS_SQL} SELECT code, report_date, {r('CASE WHEN count(revenue) OVER w >= 4 THEN sum(revenue) OVER w END', 2)} AS ttm FROM statements WINDOW w AS (PARTITION BY code ORDER BY report_date ROWS 3 PRECEDING)")
-def trailing_year(spark, d):
-    w = Window.partitionBy("code").orderBy("report_date").rowsBetween(-3, 0)
-    return m.statements(spark, d).select("code", "report_date", rounded(F.when(F.count("revenue").over(w) >= 4, F.sum("revenue").over(w)), 2).alias("ttm"))
-
-
 @query("f46_effective_date", f"WITH {m.SQL}, {m.STATEMENTS_SQL} SELECT code, report_date, effective_date FROM statements")
 def effective_dates(spark, d):
     return m.statements(spark, d).select("code", "report_date", "effective_date")
@@ -207,13 +201,6 @@ def ema(spark, d):
     return op.exponential_mean(m.bars(spark, d).select("code", "date", "close"), {"ema": ("close", 2 / 21)}).select("code", "date", rounded(F.col("ema"), 4).alias("value"))
 
 
-@query("w05_macd", f"WITH {m.SQL}, f AS ({_ema_sql('close', '(2.0 / 13)', 'bars')}), s AS ({_ema_sql('close', '(2.0 / 27)', 'bars')}), l AS (SELECT code, date, f.ema - s.ema AS line FROM f JOIN s USING (code, date)), g AS ({_ema_sql('line', '0.2', 'l')}) SELECT code, date, {r('line', 4)} AS line, {r('ema', 4)} AS signal, {r('line - ema', 4)} AS hist FROM l JOIN g USING (code, date)")
-def macd(spark, d):
-    both = op.exponential_mean(m.bars(spark, d).select("code", "date", "close"), {"fast": ("close", 2 / 13), "slow": ("close", 2 / 27)})
-    line = op.exponential_mean(both.select("code", "date", (F.col("fast") - F.col("slow")).alias("line")), {"signal": ("line", 0.2)})
-    return line.select("code", "date", rounded(F.col("line"), 4).alias("line"), rounded(F.col("signal"), 4).alias("signal"), rounded(F.col("line") - F.col("signal"), 4).alias("hist"))
-
-
 _S = f"WITH {m.SIGNALS_SQL}"
 
 

@@ -22,7 +22,7 @@ def near(a, b):
     if isinstance(a, float) or isinstance(b, float):
         if a is None or b is None:
             return a is b
-        return a == b or math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-5)
+        return a == b or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)
     return a == b
 
 

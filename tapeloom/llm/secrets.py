@@ -71,9 +71,9 @@ def is_der(b: bytes) -> bool:
 
 
 def is_ssh(b: bytes) -> bool:
-    """Length-prefixed fields that fill b, the first a key type; or an openssh-key-v1 container."""
+    """Length-prefixed fields that fill b, the first a key type; or an openssh-key-v1 container that its nested fields fill."""
     if b.startswith(_CONTAINER):
-        return True
+        return _is_container(b)
     at, n = 0, 0
     while at + 4 <= len(b):
         size = int.from_bytes(b[at : at + 4], "big")
@@ -84,6 +84,22 @@ def is_ssh(b: bytes) -> bool:
     return at == len(b) and n >= 2
 
 
+def _is_container(b: bytes) -> bool:
+    """Cipher, derivation and its options, then a number of public keys, each with a key type, and one private part; a tag of 16 bytes may follow."""
+
+    def field(at: int) -> int:
+        n = int.from_bytes(b[at : at + 4], "big") if at + 4 <= len(b) else len(b)
+        return at + 4 + n
+
+    at = field(field(field(len(_CONTAINER))))
+    keys, at = int.from_bytes(b[at : at + 4], "big"), at + 4
+    while keys and at < len(b):
+        if not b[at + 8 :].startswith(_SSH_TYPES):
+            return False
+        at, keys = field(at), keys - 1
+    return not keys and len(b) - field(at) in (0, 16)
+
+
 def is_signed_token(header: str) -> bool:
     try:
         x = json.loads(base64.urlsafe_b64decode(header + "=" * (-len(header) % 4)))
@@ -148,13 +164,13 @@ class _Encoded:
                 found = e
         return found if found is not None and is_ssh(self.bytes(start, found)) else None
 
-    def container(self, start: int) -> int:
-        """The line end that its fields and an authentication tag of 16 bytes or none lead to; the run's end if they lead to none."""
+    def container(self, start: int) -> int | None:
+        """The line end that its fields and an authentication tag of 16 bytes or none lead to."""
         at = self.skip(start, len(_CONTAINER), 3)
         n = None if at is None else self.number(start, at)
         at = None if n is None else self.skip(start, at + 4, n + 1)
         ends = [] if at is None else [e for e in (self.end(start, at + 16), self.end(start, at)) if e is not None]
-        return ends[0] if ends else len(self.body)
+        return next((e for e in ends if is_ssh(self.bytes(start, e))), None)
 
     def keys(self) -> Iterator[tuple[str, int, int]]:
         done = 0

@@ -249,6 +249,8 @@ def test_secret_runs_match_brute_force():
     box = b"openssh-key-v1\0" + fields(b"none", b"none", b"") + b"\0\0\0\1" + fields(fields(b"ssh-ed25519", b"k" * 32), b"x" * 136)
     text = base64.b64encode(box).decode().rstrip("=")
     assert ("ssh", 7, 7 + len(text)) in secrets.scan(f"my key\n{text}\nWord and more")
+    for fake in (b"openssh-key-v1\0" + b"anything at all " * 9, box[:-20], box.replace(b"ssh-ed25519", b"xsh-ed25519"), box + b"12345"):
+        assert not secrets.is_ssh(fake) and not [x for x in secrets.scan(base64.b64encode(fake).decode()) if x[0] == "ssh"]
     for head in ({"alg": "HS256"}, {"typ": "JWT", "alg": "none"}):
         for dumped in (json.dumps(head), json.dumps(head, indent=1), " " + json.dumps(head)):
             token = base64.urlsafe_b64encode(dumped.encode()).decode().rstrip("=") + ".e30.abc"
@@ -339,6 +341,15 @@ def test_toxicity_reads_the_language_from_all_words(model):
         assert np.allclose(scorer.scores(texts), 1 / (1 + np.exp(m.offsets[lang] - z)))
 
 
+def test_toxicity_fits_awkward_tables(spark, docs, empty):
+    """No rows, one class, repeated ids and labels: a model that scores every text."""
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 18)] + [(9, 1, 0), (None, 1, 1), (6, 1, None)], "doc_id long, quality int, toxic int")
+    for d, l in ((empty, labels), (docs, labels.where("false")), (docs, labels)):
+        model = toxicity.fit(d, l)
+        assert all(0 <= r["score"] <= 1 for r in rows(toxicity.toxicity(docs, model)))
+    assert toxicity.fit(docs, labels, sample_bytes=100).embedding.shape == model.embedding.shape
+
+
 def test_toxicity_held_out(spark):
     d, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     model = toxicity.fit(d, labels)

@@ -54,11 +54,11 @@ def sharpe(spark, d):
     return fx.enriched(m.bars(spark, d)).groupBy("code").agg(rounded(F.when(flat, 0.0).otherwise((F.avg("ret") - 0.03 / 252) / F.stddev_samp("ret") * fx.YEAR)).alias("sharpe"))
 
 
-@query("r15_volume_cap", f"WITH {m.SQL}, x AS (SELECT code, date, close, volume, CAST(floor(least(1000.0, volume * 0.05) / 1) AS BIGINT) AS shares FROM bars) SELECT code, date, shares, {r('shares / 1000.0')} AS fill_rate, {r('(1000 - shares) * close', 2)} AS cash_drag FROM x")
+@query("r15_volume_cap", f"WITH {m.SQL}, x AS (SELECT code, date, close, volume, CAST(floor(least(1000.0, volume * 0.05) / 1) AS BIGINT) AS shares FROM bars) SELECT code, date, shares, {r('shares / 1000.0')} AS fill_rate, {r('(1000 - shares) * close + 1e-5', 2)} AS cash_drag FROM x")
 def volume_cap(spark, d):
     """A target of 1000 shares cut to a twentieth of the day's volume (lots of one, as volumes are small here)."""
     shares = F.floor(F.least(F.lit(1000.0), F.col("volume") * 0.05)).cast("long")
-    return m.bars(spark, d).select("code", "date", "close", shares.alias("shares")).select("code", "date", "shares", rounded(F.col("shares") / 1000.0).alias("fill_rate"), rounded((1000 - F.col("shares")) * F.col("close"), 2).alias("cash_drag"))
+    return m.bars(spark, d).select("code", "date", "close", shares.alias("shares")).select("code", "date", "shares", rounded(F.col("shares") / 1000.0).alias("fill_rate"), rounded((1000 - F.col("shares")) * F.col("close") + 1e-5, 2).alias("cash_drag")  # halves are frequent: a hair above them)
 
 
 _SPLIT = "sum(CASE WHEN direction > 0 THEN 1 ELSE 0 END) AS up, sum(CASE WHEN direction < 0 THEN 1 ELSE 0 END) AS down, count(*) AS n"

@@ -58,7 +58,7 @@ def sharpe(spark, d):
 def volume_cap(spark, d):
     """A target of 1000 shares cut to a twentieth of the day's volume (lots of one, as volumes are small here)."""
     shares = F.floor(F.least(F.lit(1000.0), F.col("volume") * 0.05)).cast("long")
-    return m.bars(spark, d).select("code", "date", "close", shares.alias("shares")).select("code", "date", "shares", rounded(F.col("shares") / 1000.0).alias("fill_rate"), rounded((1000 - F.col("shares")) * F.col("close") + 1e-5, 2).alias("cash_drag")  # halves are frequent: a hair above them)
+    return m.bars(spark, d).select("code", "date", "close", shares.alias("shares")).select("code", "date", "shares", rounded(F.col("shares") / 1000.0).alias("fill_rate"), rounded((1000 - F.col("shares")) * F.col("close") + 1e-5, 2).alias("cash_drag"))  # halves are frequent: a hair above them
 
 
 _SPLIT = "sum(CASE WHEN direction > 0 THEN 1 ELSE 0 END) AS up, sum(CASE WHEN direction < 0 THEN 1 ELSE 0 END) AS down, count(*) AS n"

@@ -59,15 +59,20 @@ def der_length(b: bytes, at: int) -> tuple[int, int] | None:
 
 
 def is_der(b: bytes) -> bool:
-    """A SEQUENCE that fills b, whose children fill it in turn, the first an INTEGER, SEQUENCE or tagged version."""
+    """A SEQUENCE that fills b, whose first child is an INTEGER, SEQUENCE or tagged version; at every depth the children fill a constructed element."""
     if len(b) < 16 or b[0] != 0x30 or (top := der_length(b, 0)) is None or top[1] != len(b) or b[top[0]] not in (0x02, 0x30, 0xA0):
         return False
-    at, n = top[0], 0
-    while at < top[1]:
-        if (x := der_length(b, at)) is None:
-            return False
-        at, n = x[1], n + 1
-    return at == top[1] and n >= 2
+    pending, children = [top], []
+    while pending:
+        (at, end), n = pending.pop(), 0
+        while at < end:
+            if (x := der_length(b, at)) is None or x[1] > end:
+                return False
+            if b[at] & 0x20:
+                pending.append(x)
+            at, n = x[1], n + 1
+        children.append(n)
+    return children[0] >= 2
 
 
 def is_ssh(b: bytes) -> bool:

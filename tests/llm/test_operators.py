@@ -176,6 +176,13 @@ def pii_digest(spans):
     return ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans)
 
 
+def test_pii_context_on_both_sides(spark):
+    texts = ["555-44-3333 is my ssn", "my ssn: 555-44-3333", "555-44-3333 by itself", "555-44-3333" + " x" * 21 + " ssn"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.pii_spans(docs).collect()}
+    assert found == {0: [("ssn", 0, 11)], 1: [("ssn", 8, 19)], 2: [], 3: []}
+
+
 def test_pii_long_runs_are_linear(spark):
     d = spark.createDataFrame([(1, "a" * 200_000), (2, "1" * 200_000), (3, "a@" + "b." * 50_000), (4, "1." * 100_000), (5, "A" * 100_000), (6, "1-" * 100_000)], "doc_id long, text string")
     assert pii.pii_spans(d).count() == 6
@@ -200,6 +207,19 @@ def test_secrets(docs):
     assert rows(secrets.redact(docs).where("doc_id = 1"))[0]["text"] is None
 
 
+def test_nested_lengths_of_keys():
+    inner = lambda n: b"\x30" + bytes([n]) + b"\x02\x01\x05" + b"\x04\x08" + b"k" * 8
+    key = lambda n: b"\x30\x12" + b"\x02\x01\x00" + inner(n)
+    assert secrets.is_der(key(13)) and not secrets.is_der(key(12))
+    # the inner SEQUENCE fills its place, but its own child doesn't
+    assert not secrets.is_der(key(13).replace(b"\x04\x08", b"\x04\x07"))
+    deep = b""
+    for _ in range(20_000):
+        n = len(deep)
+        deep = b"\x30\x83" + n.to_bytes(3, "big") + deep
+    assert secrets.is_der(b"\x30\x83" + (len(deep) + 3).to_bytes(3, "big") + b"\x02\x01\x00" + deep)
+
+
 def test_secret_runs_match_brute_force():
     """Every line start and line end of encoded runs, decoded and confirmed."""
     import base64

@@ -52,7 +52,7 @@ class Kind:
     hint: Callable[[Column], Column]  # cheap test without which no match can be
     valid: Callable[[Column], Column]
     score: float
-    context: str  # words that raise the score when they stand shortly before
+    context: str  # words that raise the score when they stand shortly before or after
 
 
 def _digits(m: Column) -> Column:
@@ -77,7 +77,8 @@ def _found(kind: Kind, matches: Column, between: Column) -> Column:
         before, match = F.get(between, i), F.get(matches, i)
         start = acc["at"] + F.length(before)
         end = start + F.length(match)
-        near = F.lower(F.right(before, F.lit(CONTEXT_CHARS))).rlike(kind.context)
+        around = F.concat_ws("\n", F.right(before, F.lit(CONTEXT_CHARS)), F.left(F.get(between, i + 1), F.lit(CONTEXT_CHARS)))
+        near = F.lower(around).rlike(kind.context)
         score = F.lit(kind.score) + F.when(near, CONTEXT_BONUS).otherwise(0.0)
         kept = kind.valid(match) if kind.name in BASE_KINDS else kind.valid(match) & (score >= LEAST_SCORE)
         span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
@@ -90,7 +91,8 @@ def _found(kind: Kind, matches: Column, between: Column) -> Column:
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: `id_col`, spans array<struct<kind, start, end, score>> by kind as in KINDS, then start.
 
-    start and end are code points, end exclusive. Null and empty texts have no spans; null and repeated
+    start and end are code points, end exclusive. Context is what stands within CONTEXT_CHARS before or after a
+    match, up to the next match of its kind. Null and empty texts have no spans; null and repeated
     ids are kept as they are; an empty table gives no rows; further columns of `docs` are not looked at.
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("text"))
@@ -127,13 +129,13 @@ def _sql() -> str:
         ("card", r"[0-9]([\x20-]?[0-9])+", f"length({digits}) BETWEEN 16 AND 19 AND " + luhn_sql.replace("{d}", digits)),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 8 AND 15"),
         ("iban", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", mod_sql),
-        ("ssn", r"[0-9]+-[0-9]+-[0-9]+", "regexp_matches({m}, '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$') AND regexp_matches(lower(right({b}, 40)), 'ssn|social|security')"),
+        ("ssn", r"[0-9]+-[0-9]+-[0-9]+", "regexp_matches({m}, '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$') AND regexp_matches(lower(right({b}, 40) || chr(10) || left({a}, 40)), 'ssn|social|security')"),
     )
     sums = "CAST(coalesce(list_sum(list_transform({x}, lambda z: length(z))), 0) AS BIGINT)"
     cols, lists = [], []
     for name, pattern, valid in rules:
         cols.append(f"regexp_extract_all(t, '{pattern}') AS m_{name}, string_split_regex(t, '{pattern}') AS b_{name}")
-        check = valid.replace("{{", "{").replace("}}", "}").replace("{m}", f"m_{name}[k]").replace("{b}", f"b_{name}[k]")
+        check = valid.replace("{{", "{").replace("}}", "}").replace("{m}", f"m_{name}[k]").replace("{b}", f"b_{name}[k]").replace("{a}", f"b_{name}[k+1]")
         start = sums.replace("{x}", f"b_{name}[1:k]") + " + " + sums.replace("{x}", f"m_{name}[1:k-1]")
         lists.append(f"list_transform(list_filter(range(1, len(m_{name}) + 1), lambda k: {check}), lambda k: '{name}:' || ({start}) || ':' || ({start} + length(m_{name}[k]))) AS s_{name}")
     base = "list_concat(" + "list_concat(list_concat(s_email, s_ip), s_card), s_phone)"

@@ -57,11 +57,11 @@ def _marks(keys: Column, fixed: Column) -> Column:
     return F.zip_with(keys, fixed, lambda k, at: F.when(k.isNull(), F.lit(-1).cast("long")).when(F.array_contains(at, k), k).otherwise(F.lit(0).cast("long")))
 
 
-def _fixed(tokens: DataFrame, leaves: DataFrame, min_docs: int) -> DataFrame:
+def _fixed(tokens: DataFrame, min_docs: int) -> DataFrame:
     """(leaf, lines, fixed): for each position of a leaf the hashes of its fixed tokens."""
-    counted = tokens.select("leaf", F.posexplode("keys").alias("at", "k")).groupBy("leaf", "at", "k").agg(F.count("*").alias("c"))
+    counted = tokens.select("leaf", "lines", F.posexplode("keys").alias("at", "k")).groupBy("leaf", "lines", "at", "k").agg(F.count("*").alias("c"))
     enough = F.col("k").isNotNull() & (F.col("c") >= min_docs) & (F.col("c") >= SHARE * F.col("lines"))
-    by_place = counted.join(leaves, "leaf").groupBy("leaf", "lines", "at").agg(F.collect_list(F.when(enough, F.col("k"))).alias("fixed"))
+    by_place = counted.groupBy("leaf", "lines", "at").agg(F.collect_list(F.when(enough, F.col("k"))).alias("fixed"))
     dense = F.transform(F.array_sort(F.collect_list(F.struct("at", "fixed"))), lambda x: x["fixed"])
     return by_place.groupBy("leaf", "lines").agg(dense.alias("fixed"))
 
@@ -74,26 +74,25 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and get the same answer. An empty table gives no rows; further columns of `docs` are not looked at.
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("t")).withColumn("h", F.xxhash64("t"))
-    lines = written(rows.select("id", "h", F.transform(F.split("t", "\n", -1), places).alias("of")).dropDuplicates(["id", "h"]), "lines")
-
-    def shared(key: str, least: int) -> DataFrame:
-        once = lines.select("id", F.explode(F.array_distinct(F.transform("of", lambda x: x[key]))).alias(key)).where(F.col(key).isNotNull())
-        return once.groupBy(key).agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= least)
-
+    lines = written(rows.select("id", "h", F.transform(F.split("t", "\n", -1), places).alias("of")).groupBy("id", "h").agg(F.first("of").alias("of"), F.count("*").alias("rows")), "lines")
     every = lines.select("id", "h", F.posexplode("of").alias("at", "x")).where("x is not null").select("id", "h", "at", "x.lit", "x.leaf")
-    copies = written(shared("lit", min_copies).select("lit", "n", "first"), "copies")
+    once = lines.select("id", F.explode(F.array_distinct(F.transform("of", lambda x: x["lit"]))).alias("lit")).where("lit is not null")
+    copies = written(once.groupBy("lit").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= min_copies), "copies")
     literal = spread_join(every.where("id is not null").select("id", "h", "at", "lit"), copies, "lit", "n", by="id").where("id != first").select("id", "h", "at")
 
-    # the lines of leaves that enough documents reach, with a hash of each token (null for a digit field)
-    busy = written(shared("leaf", min_docs).select("leaf", "n"), "leaves")
-    chosen = spread_join(every.select("id", "h", "at", "leaf"), busy, "leaf", "n", by="at").groupBy("id", "h").agg(F.collect_set(F.struct("at", "leaf")).alias("chosen"))
+    # leaves that enough documents reach, by their documents n and lines; a document's lines are sorted by leaf, so it counts once where a run begins
+    by_leaf = lines.select("rows", F.sort_array(F.transform("of", lambda x: x["leaf"])).alias("s"))
+    runs = by_leaf.select("rows", F.inline(F.transform("s", lambda x, i: F.struct(x.alias("leaf"), (~F.get("s", i - 1).eqNullSafe(x)).cast("long").alias("new"))))).where("leaf is not null")
+    busy = written(runs.groupBy("leaf").agg(F.sum("new").alias("n"), F.sum("rows").alias("lines")).where(F.col("n") >= min_docs), "leaves")
+
+    # their lines, with a hash of each token (null for a digit field)
+    chosen = spread_join(every.select("id", "h", "at", "leaf"), busy, "leaf", "n", by="at").groupBy("id", "h").agg(F.collect_set(F.struct("at", "leaf", "lines")).alias("chosen"))
     chosen = chosen.withColumnsRenamed({"id": "i", "h": "g"})
     found = rows.join(chosen, rows.id.eqNullSafe(chosen.i) & (rows.h == chosen.g)).select("id", "h", F.split("t", "\n", -1).alias("l"), F.explode("chosen").alias("c"))
     keys = F.transform(_tokens(F.get("l", F.col("c.at"))), lambda w: F.when(~w.rlike("[0-9]"), F.xxhash64(w)))
-    tokens = written(found.select("id", "h", "c.at", "c.leaf", keys.alias("keys")), "tokens")
-    leaves = written(tokens.groupBy("leaf").agg(F.count("*").alias("lines")), "leaf_sizes")
-    fixed = written(_fixed(tokens, leaves, min_docs), "fixed")
-    marked = spread_join(tokens, fixed, "leaf", "lines", by="id").select("id", "h", "at", "leaf", _marks(F.col("keys"), F.col("fixed")).alias("m"))
+    tokens = written(found.select("id", "h", "c.at", "c.leaf", "c.lines", keys.alias("keys")), "tokens")
+    fixed = written(_fixed(tokens, min_docs), "fixed")
+    marked = spread_join(tokens.drop("lines"), fixed, "leaf", "lines", by="id").select("id", "h", "at", "leaf", _marks(F.col("keys"), F.col("fixed")).alias("m"))
     many = lambda hit: F.size(F.filter("m", hit))
     apt = marked.where(many(lambda x: ~x.isin(0, -1)) > many(lambda x: x == 0))
     templates = written(apt.select("id", "h", "at", F.xxhash64("leaf", "m").alias("template")), "marked")

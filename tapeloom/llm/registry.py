@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import exact_dedup, line_dedup, near_dedup, packing, pii, quality, secrets, segmentation, toxicity, warc
+from tapeloom.llm import embedding_dedup, exact_dedup, line_dedup, near_dedup, packing, pii, quality, secrets, segmentation, spelling, toxicity, warc, whitening
 
-MODULES = (pii, toxicity, segmentation, near_dedup, line_dedup, warc, quality, exact_dedup, packing, secrets)
+MODULES = (pii, toxicity, segmentation, near_dedup, line_dedup, warc, quality, exact_dedup, packing, secrets, embedding_dedup, spelling, whitening)
 
 
 def queries() -> dict:

@@ -34,8 +34,8 @@ from tapeloom.llm.near_dedup import components
 
 #: Vectors of one block at most, and of one chunk of a product.
 BLOCK, CHUNK = 4096, 512
-#: Children of a split node, at most.
-FANOUT = 64
+#: Children of a split node, at most, and vectors of a node that a task deals out to them, about.
+FANOUT, SHARE = 64, 32_768
 #: What single precision may be wrong by in a squared distance; what a stored radius is rounded up by.
 SLACK, ROUND_UP = 1e-5, 1e-6
 
@@ -68,19 +68,23 @@ def _stack(column, width: int) -> np.ndarray:
     return unit(np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, width))
 
 
-def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (node, sig, rep, w, vec, centres), centres being the (slot, vec) of the node's children: the child and the distance to its centre."""
-    for b in batches:
-        child, far = [], []
-        for node, vec, sig, centres in zip(b.column("node").to_pylist(), b.column("vec").to_pylist(), b.column("sig").to_pylist(), b.column("centres").to_pylist()):
-            x, c = unit(np.frombuffer(vec, np.float64)[None]), unit(np.stack([np.frombuffer(p["vec"], np.float64) for p in centres]))
-            dist = np.sqrt(((c - x) ** 2).sum(axis=1))
-            ties = np.flatnonzero(dist <= dist.min() + 1e-12)
-            at = ties[int.from_bytes(hashlib.blake2b(sig + node.encode(), digest_size=4).digest()) % len(ties)]
-            child.append(f"{node}.{centres[at]['slot']}")
-            far.append(float(dist[at]) + ROUND_UP)
-        yield pa.RecordBatch.from_arrays([pa.array(child, pa.string()), *(b.column(c) for c in ("node", "sig", "rep", "w", "vec")), pa.array(far, pa.float64())], ["node", "parent", "sig", "rep", "w", "vec", "far"])
+def _children(rows: pa.Table, centres: pa.Table) -> pa.Table:
+    """A share of a node's vectors and its children (slot, centre): each vector's child, and how far from its centre it is."""
+    width = len(rows.column("vec")[0].as_py()) // 8 if rows.num_rows else 0
+    child, far = [], []
+    if rows.num_rows:
+        x, c, slots = _stack(rows.column("vec"), width), _stack(centres.column("centre"), width), centres.column("slot").to_pylist()
+        node = rows.column("node")[0].as_py()
+        for at in range(0, len(x), CHUNK):
+            dist = np.stack([np.sqrt(((x[at : at + CHUNK] - v) ** 2).sum(axis=1)) for v in c], axis=1)
+            near = dist <= dist.min(axis=1, keepdims=True) + 1e-12
+            for row, ties, sig in zip(dist, near, rows.column("sig").slice(at, CHUNK).to_pylist()):
+                some = np.flatnonzero(ties)
+                best = some[int.from_bytes(hashlib.blake2b(sig + node.encode(), digest_size=4).digest()) % len(some)] if len(some) > 1 else some[0]
+                child.append(f"{node}.{slots[best]}")
+                far.append(float(row[best]) + ROUND_UP)
     free_memory()
+    return pa.table({"node": pa.array(child, pa.string()), "parent": rows.column("node")} | {c: rows.column(c) for c in ("sig", "rep", "w", "vec")} | {"far": pa.array(far, pa.float64())})
 
 
 def upper(classes: DataFrame, block: int) -> tuple[DataFrame, DataFrame, int]:
@@ -97,11 +101,15 @@ def upper(classes: DataFrame, block: int) -> tuple[DataFrame, DataFrame, int]:
         if large.isEmpty():
             return written(blocks, "blocks"), nodes, depth
         depth += 1
-        by_slot = now.join(large, "node").groupBy("node", F.pmod(F.xxhash64("sig", F.lit(depth)), F.col("slots")).cast("int").alias("slot")).agg(F.min_by("vec", F.xxhash64("sig")).alias("vec"))
-        centres = written(by_slot.groupBy("node").agg(F.collect_list(F.struct("slot", "vec")).alias("centres")).join(large, "node"), "centres")  # FANOUT of them at most
-        dealt = spread_join(now.join(large.select("node"), "node", "left_semi"), centres, "node", "rows", by="sig").select("node", "sig", "rep", "w", "vec", "centres")
-        split = written(dealt.mapInArrow(_nearest, "node string, parent string, sig binary, rep long, w long, vec binary, far double"), "tree")
-        child = centres.select("node", F.explode("centres").alias("c")).select(F.concat_ws(".", "node", F.col("c.slot").cast("string")).alias("node"), F.col("c.vec").alias("centre"))
+        slot = F.pmod(F.xxhash64("sig", F.lit(depth)), F.col("slots")).cast("int")
+        inner = now.join(large, "node")
+        centres = written(inner.groupBy("node", slot.alias("slot")).agg(F.min_by("vec", F.xxhash64("sig")).alias("centre")), "centres")
+        shares = -(-large.agg(F.max("rows")).first()[0] // SHARE)  # of each node, so that no task gets more than about SHARE vectors of one
+        left = inner.select("node", "sig", "rep", "w", "vec", F.pmod(F.xxhash64("sig", F.lit("share")), F.lit(shares)).cast("int").alias("share"))
+        right = centres.select("node", "slot", "centre", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+        split = left.groupBy("node", "share").cogroup(right.groupBy("node", "share")).applyInArrow(_children, "node string, parent string, sig binary, rep long, w long, vec binary, far double")
+        split = written(split, "tree")
+        child = centres.select(F.concat_ws(".", "node", F.col("slot").cast("string")).alias("node"), "centre")
         radius = split.groupBy("node", "parent").agg(F.max("far").alias("radius"))
         nodes = written(nodes.unionByName(radius.join(child, "node").select("node", "parent", "centre", "radius", F.lit(depth).alias("depth"))), "nodes")
         now = split.select("node", "sig", "rep", "w", "vec")

@@ -109,8 +109,10 @@ def near_pairs(words: list[bytes], shorter: list[bytes], first: int, last: int)
         (ahead_at, ahead_k), (behind_at, behind_k) = ahead.nearest(short), behind.nearest(short[:, ::-1])
     for i in range(first, last):
         (start, end), (low, high) = ahead.intervals(i), behind.intervals(length - 1 - i)
-        a, rank = tree.report(start[ahead.place], end[ahead.place], low[behind.place], high[behind.place])
-        b = behind.rows[rank]
+        shared = np.flatnonzero((end - start > 1)[ahead.place] & (high - low > 1)[behind.place])  # a word alone in one order is alone in both
+        f, r = ahead.place[shared], behind.place[shared]
+        a, rank = tree.report(start[f], end[f], low[r], high[r])
+        a, b = shared[a], behind.rows[rank]
         yield a[a != b], b[a != b], False
         if shorter:
             meets = np.flatnonzero((ahead_k >= i) & (behind_k >= length - 1 - i))

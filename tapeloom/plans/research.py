@@ -59,7 +59,7 @@ def tradeable_universe(spark, d, least: int = 530):
 
 @query("s17_prices_at_dates", f"{_BARS} SELECT code, date, {r('close')} AS close FROM bars WHERE date IN (DATE '1996-03-29', DATE '1997-06-30', DATE '1998-12-31')")
 def prices_at_dates(spark, d):
-    return m.bars(spark, d).where(F.col("date").isin("1996-03-29", "1997-06-30", "1998-12-31")).select("code", "date", rounded(F.col("close")).alias("close"))
+    return m.bars_on(spark, d, ["1996-03-29", "1997-06-30", "1998-12-31"]).select("code", "date", rounded(F.col("close")).alias("close"))
 
 
 @query("u05_common_codes", f"{_BARS} SELECT code FROM bars WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-01-15' INTERSECT SELECT code FROM bars WHERE date BETWEEN DATE '2000-01-01' AND DATE '2000-01-15'")

@@ -75,7 +75,7 @@ def change_amplitude(spark, d):
 
 @query("p14_date_slice", f"{_BARS} SELECT code, date, {r('close')} AS close FROM bars WHERE date >= DATE '1997-03-01' AND date <= DATE '1997-06-30'")
 def date_slice(spark, d):
-    return m.bars(spark, d).where(F.col("date").between("1997-03-01", "1997-06-30")).select("code", "date", rounded(F.col("close")).alias("close"))
+    return m.bars_between(spark, d, "1997-03-01", "1997-06-30").select("code", "date", rounded(F.col("close")).alias("close"))
 
 
 @query("u01_union_aligned", f"{_BARS} SELECT code, date, {r('close')} AS close, NULL::DOUBLE AS revenue FROM bars WHERE code % 10 = 1 UNION ALL SELECT l_suppkey, CAST(l_shipdate AS DATE), NULL, {r('l_extendedprice * (1 - l_discount)')} FROM lineitem WHERE l_suppkey % 10 = 2")
@@ -331,13 +331,6 @@ def liquidity_regime(spark, d):
     return e.withColumn("place", place).select("code", "date", F.when(F.col("place") < 0.2 - 1e-9, "FROZEN").when(F.abs("z") > 3, "STRESSED").otherwise("NORMAL").alias("regime"))
 
 
-@query("t11_local_highs", f"{_BARS}, h AS (SELECT *, max(high) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING) AS top, min(low) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING) AS after FROM bars) SELECT code, date, {r('high')} AS high FROM h WHERE high = top AND after <= 0.95 * high")
-def local_highs(spark, d):
-    w = by_code()
-    h = m.bars(spark, d).withColumn("top", F.max("high").over(w.rowsBetween(-20, 20))).withColumn("after", F.min("low").over(w.rowsBetween(1, 60)))
-    return h.where((F.col("high") == F.col("top")) & (F.col("after") <= 0.95 * F.col("high"))).select("code", "date", rounded(F.col("high")).alias("high"))
-
-
 # statements: figures reported for the year to date, differenced within the year, then summed over four quarters
 _YTD = f"{_BARS}, {m.STATEMENTS_SQL}, ytd AS (SELECT code, report_date, sum(revenue) OVER (PARTITION BY code, year(report_date) ORDER BY report_date) AS x FROM statements)"
 

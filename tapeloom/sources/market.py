@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.sources import lake
+
 #: Months from a quarter's end to the date its statement counts as known.
 STATEMENT_DELAY = {3: 3, 6: 2, 9: 3, 12: 4}
 
@@ -33,9 +35,30 @@ def ohlcv(rows: DataFrame, *keys: str | Column, order: str = "k") -> DataFrame:
     )
 
 
+BAR_COLUMNS = ("code", "date", "open", "high", "low", "close", "volume", "amount")
+
+
+def written_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars and their year: rolled up once, then a table partitioned by year and bucketed by code."""
+    make = lambda: ohlcv(ticks(spark, sf_dir), "code", "date").select(*BAR_COLUMNS, F.year("date").alias("year"))
+    return lake.of_inputs(spark, "bars", sf_dir, ("lineitem",), ("code", "date"), "year", "code", make)[1]
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars (code, date, open, high, low, close, volume, amount)."""
-    return ohlcv(ticks(spark, sf_dir), "code", "date")
+    return written_bars(spark, sf_dir).select(*BAR_COLUMNS)
+
+
+def bars_between(spark: SparkSession, sf_dir: str, first: str, last: str) -> DataFrame:
+    """Bars from `first` to `last` (dates): other years' folders aren't opened, and the date reaches the scan."""
+    years = F.col("year").between(int(first[:4]), int(last[:4]))
+    return written_bars(spark, sf_dir).where(years & F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))).select(*BAR_COLUMNS)
+
+
+def bars_on(spark: SparkSession, sf_dir: str, dates: list[str]) -> DataFrame:
+    """Bars of the dates given, read as bars_between reads them."""
+    wanted = F.col("year").isin([int(x[:4]) for x in dates]) & F.col("date").isin([F.lit(x).cast("date") for x in dates])
+    return written_bars(spark, sf_dir).where(wanted).select(*BAR_COLUMNS)
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ Groups begin as all words of a length, with all edit positions. A group of more
 halved by edit position: words differing in the first half of the positions agree in the second half
 and the other way round, so each half's words are grouped anew by what they agree in. That repeats
 until groups are small or one position is left, where a group holds no more words than the alphabet has
-letters. Each word leaves a group with a count and its best neighbour, not with a row a pair.
+letters. Words that differ within a range of positions agree outside of it, so groups of one length and
+range can be searched together: small ones share a task's tree. Each word leaves it with a count and its
+best neighbour, not with a row a pair.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from tapeloom.llm.common import documents, free_memory, text_of, written
 
 RUN = "[A-Za-z\\u00C0-\\u00FF]+"
 LEAST_LETTERS, LEAST_COUNT, SLIP = 5, 3, 97
-#: Words of one group, at most, while it has more than one edit position.
-GROUP = 20_000
+#: Words of one group, at most, while it has more than one edit position; words of the groups that are searched together, about.
+GROUP, TOGETHER = 20_000, 5_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -126,7 +128,7 @@ def near_pairs(words: list[bytes], shorter: list[bytes], first: int, last: int)
 
 
 def _best(batch: pa.Table) -> pa.Table:
-    """Of a group (words of length `size` and of the next smaller length): per word its near words and the best of them."""
+    """Of a bucket (words of length `size` and of the next smaller length): per word its near words and the best of them."""
     size, first, last = (batch.column(c)[0].as_py() for c in ("size", "first", "last"))
     word, n = batch.column("word").to_pylist(), batch.column("n").to_numpy()
     letters = np.array([w.encode("latin-1") for w in word], object)
@@ -166,7 +168,7 @@ def _agreed(lo: Column, hi: Column) -> Column:
 
 
 def grouped(words: DataFrame, most: int = GROUP) -> DataFrame:
-    """(size, first, last, key, word, n): every word in the groups in which an edit can find its near words."""
+    """(size, first, last, bucket, word, n): every word in the buckets in which an edit can find its near words."""
     now = words.select(F.explode(F.array(F.char_length("word"), F.char_length("word") + 1)).alias("size"), "word", "n")
     now = now.withColumns({"first": F.lit(0), "last": F.col("size"), "key": F.lit("\n")})
     columns, done = ["size", "first", "last", "key"], None
@@ -177,11 +179,14 @@ def grouped(words: DataFrame, most: int = GROUP) -> DataFrame:
         part = now.join(large, columns, "left_anti")
         done = part if done is None else done.unionByName(part)
         if large.isEmpty():
-            return done
+            break
         mid = F.floor((F.col("first") + F.col("last")) / 2).cast("int")
         halves = F.explode(F.array(F.struct(F.col("first").alias("lo"), mid.alias("hi")), F.struct(mid.alias("lo"), F.col("last").alias("hi")))).alias("p")
         now = now.join(large, columns, "left_semi").select("size", "word", "n", halves).select("size", "word", "n", F.col("p.lo").alias("first"), F.col("p.hi").alias("last"))
         now = now.withColumn("key", _agreed(F.col("first"), F.col("last")))
+    buckets = done.groupBy(*columns[:3]).agg(F.ceil(F.count("*") / TOGETHER).alias("buckets"))
+    # a row a length, and one more for each halving of many words: the lengths of distinct words add up to the vocabulary, so there are few
+    return done.join(F.broadcast(buckets), columns[:3]).select(*columns[:3], F.pmod(F.xxhash64("key"), F.col("buckets")).cast("int").alias("bucket"), "word", "n")
 
 
 def _roots(forms: DataFrame) -> DataFrame:
@@ -205,7 +210,7 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     Ties between near words of equal n go to the smaller in code-point order. Further columns aren't looked at.
     """
     words = written(word_counts(docs, id_col, text_col), "words")
-    parts = grouped(words, group).groupBy("size", "first", "last", "key").applyInArrow(_freed, "word string, n_near long, near string, near_n long")
+    parts = grouped(words, group).groupBy("size", "first", "last", "bucket").applyInArrow(_freed, "word string, n_near long, near string, near_n long")
     best = F.min(F.struct((-F.col("near_n")).alias("less"), "near"))  # strings compare by code points
     near = parts.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("best"))
     is_form = -F.col("best.less") >= 2 * F.col("n")
@@ -217,7 +222,8 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
 
 def _freed(batch: pa.Table) -> pa.Table:
     out = _best(batch)
-    free_memory()
+    if batch.num_rows > TOGETHER // 2:
+        free_memory()
     return out
 
 

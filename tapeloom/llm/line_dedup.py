@@ -2,18 +2,18 @@
 
 Lines are sorted into a tree of fixed depth: by their number of tokens, then their two leading tokens.
 Tokens with a digit are fields at once. In a leaf, a token is fixed at its position where it stands in
-MIN_DOCS of the leaf's lines or more, and in a SHARE of them; any other word is a variable field. A
-line's template is its leaf with the fixed tokens, and fields at the other positions; it counts where
-it has more fixed tokens than variable words. Dropped from all documents but the first (that with the
-smallest id) are
+MIN_DOCS of the leaf's lines or more, however many other lines the leaf has; any other word is a
+variable field. A line's template is its leaf with the fixed tokens, and fields at the other positions;
+it counts where it has more fixed tokens than variable words. Dropped from all documents but the first
+(that with the smallest id) are
 
 - lines whose template stands in MIN_DOCS documents or more, and
 - lines whose very tokens stand in MIN_COPIES documents or more, whatever their length.
 
 Lines are hashed in the row; each document counts a line once before the shuffle, and counts are
-summed on the map side, so a line that every document has moves one row per task. Tokens are looked at
-only in leaves that MIN_DOCS documents reach. A leaf has at most 1 / SHARE fixed tokens a position.
-Joins on lines, leaves and templates are salted by how many rows they have.
+summed on the map side, so a line that every document has moves one row per task. Texts are split once
+more for the tokens, which are looked at only in leaves that MIN_DOCS documents reach. Joins on lines,
+leaves, tokens and templates are salted by how many rows they have.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.common import documents, spread_join, text_of, written
 
-#: Documents that make a template and a literal line boilerplate; the share of a leaf's lines that a fixed token needs.
-MIN_DOCS, MIN_COPIES, SHARE = 10, 2, 0.02
+#: Documents that make a template and a literal line boilerplate.
+MIN_DOCS, MIN_COPIES = 10, 2
 _GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -52,58 +52,47 @@ def places(line: Column) -> Column:
     return _let(_tokens(line), of)
 
 
-def _marks(keys: Column, fixed: Column) -> Column:
-    """Of each token its hash where it is fixed, -1 for a digit field, 0 for a variable word."""
-    return F.zip_with(keys, fixed, lambda k, at: F.when(k.isNull(), F.lit(-1).cast("long")).when(F.array_contains(at, k), k).otherwise(F.lit(0).cast("long")))
-
-
-def _fixed(tokens: DataFrame, min_docs: int) -> DataFrame:
-    """(leaf, lines, fixed): for each position of a leaf the hashes of its fixed tokens."""
-    counted = tokens.select("leaf", "lines", F.posexplode("keys").alias("at", "k")).groupBy("leaf", "lines", "at", "k").agg(F.count("*").alias("c"))
-    enough = F.col("k").isNotNull() & (F.col("c") >= min_docs) & (F.col("c") >= SHARE * F.col("lines"))
-    by_place = counted.groupBy("leaf", "lines", "at").agg(F.collect_list(F.when(enough, F.col("k"))).alias("fixed"))
-    dense = F.transform(F.array_sort(F.collect_list(F.struct("at", "fixed"))), lambda x: x["fixed"])
-    return by_place.groupBy("leaf", "lines").agg(dense.alias("fixed"))
+def _documents(hits: DataFrame, key: str, least: int) -> DataFrame:
+    """(key, n, first) of the keys that `least` documents have: n of them, first being the smallest id. A row without an id is a document by its text."""
+    once = hits.select("id", F.when(F.col("id").isNull(), F.col("h")).alias("h"), key).distinct()
+    return once.groupBy(key).agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= least)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_copies: int = MIN_COPIES) -> DataFrame:
     """One row per input row: `id_col`, text (what stays, lines joined by a line feed), n_lines, n_dropped.
 
     Null and empty texts are one empty line, which stays, like any line without tokens. Rows without an
-    id are counted as documents but keep their lines. Rows that repeat an id and a text are one document
-    and get the same answer. An empty table gives no rows; further columns of `docs` are not looked at.
+    id are counted as documents but keep their lines. Rows that share an id are one document; those that
+    repeat a text, too, get the same answer. An empty table gives no rows; further columns of `docs` are not looked at.
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("t")).withColumn("h", F.xxhash64("t"))
-    lines = written(rows.select("id", "h", F.transform(F.split("t", "\n", -1), places).alias("of")).groupBy("id", "h").agg(F.first("of").alias("of"), F.count("*").alias("rows")), "lines")
-    every = lines.select("id", "h", F.posexplode("of").alias("at", "x")).where("x is not null").select("id", "h", "at", "x.lit", "x.leaf")
-    once = lines.select("id", F.explode(F.array_distinct(F.transform("of", lambda x: x["lit"]))).alias("lit")).where("lit is not null")
-    copies = written(once.groupBy("lit").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= min_copies), "copies")
-    literal = spread_join(every.where("id is not null").select("id", "h", "at", "lit"), copies, "lit", "n", by="id").where("id != first").select("id", "h", "at")
-
-    # leaves that enough documents reach, by their documents n and lines; a document's lines are sorted by leaf, so it counts once where a run begins
-    by_leaf = lines.select("rows", F.sort_array(F.transform("of", lambda x: x["leaf"])).alias("s"))
-    runs = by_leaf.select("rows", F.inline(F.transform("s", lambda x, i: F.struct(x.alias("leaf"), (~F.get("s", i - 1).eqNullSafe(x)).cast("long").alias("new"))))).where("leaf is not null")
-    busy = written(runs.groupBy("leaf").agg(F.sum("new").alias("n"), F.sum("rows").alias("lines")).where(F.col("n") >= min_docs), "leaves")
-
-    # their lines, with a hash of each token (null for a digit field)
-    chosen = spread_join(every.select("id", "h", "at", "leaf"), busy, "leaf", "n", by="at").groupBy("id", "h").agg(F.collect_set(F.struct("at", "leaf", "lines")).alias("chosen"))
-    chosen = chosen.withColumnsRenamed({"id": "i", "h": "g"})
-    found = rows.join(chosen, rows.id.eqNullSafe(chosen.i) & (rows.h == chosen.g)).select("id", "h", F.split("t", "\n", -1).alias("l"), F.explode("chosen").alias("c"))
-    keys = F.transform(_tokens(F.get("l", F.col("c.at"))), lambda w: F.when(~w.rlike("[0-9]"), F.xxhash64(w)))
-    tokens = written(found.select("id", "h", "c.at", "c.leaf", "c.lines", keys.alias("keys")), "tokens")
-    fixed = written(_fixed(tokens, min_docs), "fixed")
-    marked = spread_join(tokens.drop("lines"), fixed, "leaf", "lines", by="id").select("id", "h", "at", "leaf", _marks(F.col("keys"), F.col("fixed")).alias("m"))
-    many = lambda hit: F.size(F.filter("m", hit))
-    apt = marked.where(many(lambda x: ~x.isin(0, -1)) > many(lambda x: x == 0))
-    templates = written(apt.select("id", "h", "at", F.xxhash64("leaf", "m").alias("template")), "marked")
-    common = templates.select("id", "h", "template").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= min_docs)
-    common = written(common, "templates")
+    lines = written(rows.select("id", "h", F.transform(F.split("t", "\n", -1), places).alias("of")).groupBy("id", "h").agg(F.first("of").alias("of")), "lines")
+    each = lambda name: lines.select("id", "h", F.explode(F.array_distinct(F.transform("of", lambda x: x[name]))).alias(name)).where(F.col(name).isNotNull())
+    copies = written(_documents(each("lit"), "lit", min_copies), "copies")
+    every = lines.where("id is not null").select("id", "h", F.posexplode("of").alias("at", "x")).where("x is not null").select("id", "h", "at", "x.lit")
+    literal = spread_join(every, copies, "lit", "n", by="id").where("id != first").select("id", "h", "at")
+
+    # the lines of leaves that enough documents reach, with a hash of each token (null for a digit field)
+    busy = written(_documents(each("leaf"), "leaf", min_docs).drop("first"), "leaves")
+    split = rows.select("id", "h", F.posexplode(F.split("t", "\n", -1)).alias("at", "line")).withColumn("leaf", places(F.col("line"))["leaf"]).where("leaf is not null")
+    keys = F.transform(_tokens(F.col("line")), lambda w: F.when(~w.rlike("[0-9]"), F.xxhash64(w)))
+    tokens = written(spread_join(split, busy, "leaf", "n", by="h").select("id", "h", "at", "leaf", keys.alias("keys")), "tokens")
+
+    # of each line its fixed tokens: the key of a token is its leaf, place and word
+    words = F.size(F.filter("keys", lambda k: k.isNotNull()))
+    digits = F.xxhash64(F.size("keys"), F.transform("keys", lambda k, i: F.when(k.isNull(), i)))
+    tall = tokens.select("id", "h", "at", words.alias("words"), F.xxhash64("leaf", digits).alias("shape"), F.explode(F.filter(F.transform("keys", lambda k, i: F.when(k.isNotNull(), F.xxhash64("leaf", i, k))), lambda k: k.isNotNull())).alias("key"))
+    fixed = written(tall.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs), "fixed")
+    marked = spread_join(tall, fixed, "key", "c", by="h").groupBy("id", "h", "at", "words", "shape").agg(F.sort_array(F.collect_set("key")).alias("fixed"))
+    templates = written(marked.where(2 * F.size("fixed") > F.col("words")).select("id", "h", "at", F.xxhash64("shape", "fixed").alias("template")), "marked")
+    common = written(_documents(templates, "template", min_docs), "templates")
     variant = spread_join(templates.where("id is not null"), common, "template", "n", by="id").where("id != first").select("id", "h", "at")
 
     drop = literal.unionByName(variant).groupBy("id", "h").agg(F.collect_set("at").alias("drop"))
     out = rows.join(drop, ["id", "h"], "left")
     out = out.select("id", F.split("t", "\n", -1).alias("lines"), F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
-    kept = F.when(F.size("drop") > 0, F.filter("lines", lambda _, i: ~F.array_contains("drop", i))).otherwise(F.col("lines"))
+    stays = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))  # by hash, in order
+    kept = F.when(F.size("drop") > 0, F.transform(stays, lambda i: F.get("lines", i))).otherwise(F.col("lines"))
     return out.select(F.col("id").alias(id_col), F.concat_ws("\n", kept).alias("text"), F.size("lines").cast("long").alias("n_lines"), F.size("drop").cast("long").alias("n_dropped"))
 
 
@@ -117,10 +106,10 @@ l AS (SELECT doc_id, pos, lines[pos] AS line FROM (SELECT *, unnest(range(1, len
 k AS (SELECT doc_id, pos, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS raw FROM l),
 w AS (SELECT *, len(raw) AS n, list_transform(raw, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN NULL ELSE t END) AS w FROM k WHERE len(raw) > 0),
 copies AS (SELECT raw, min(doc_id) AS first FROM w GROUP BY raw HAVING count(DISTINCT doc_id) >= {MIN_COPIES}),
-leaves AS (SELECT n, w[1:2] AS head, count(*) AS lines FROM w GROUP BY ALL HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
-b AS (SELECT doc_id, pos, w.n, w.w, w.w[1:2] AS head, lines FROM w JOIN leaves ON w.n = leaves.n AND w.w[1:2] IS NOT DISTINCT FROM leaves.head),
-t AS (SELECT doc_id, pos, n, head, lines, unnest(w) AS word, unnest(range(1, n + 1)) AS i FROM b),
-f AS (SELECT n, head, i, word FROM t WHERE word IS NOT NULL GROUP BY n, head, i, word, lines HAVING count(*) >= {MIN_DOCS} AND count(*) >= {SHARE} * lines),
+leaves AS (SELECT n, w[1:2] AS head FROM w GROUP BY ALL HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+b AS (SELECT doc_id, pos, w.n, w.w, w.w[1:2] AS head FROM w JOIN leaves ON w.n = leaves.n AND w.w[1:2] IS NOT DISTINCT FROM leaves.head),
+t AS (SELECT doc_id, pos, n, head, unnest(w) AS word, unnest(range(1, n + 1)) AS i FROM b),
+f AS (SELECT n, head, i, word FROM t WHERE word IS NOT NULL GROUP BY n, head, i, word HAVING count(*) >= {MIN_DOCS}),
 m AS (
   SELECT doc_id, pos, t.n, t.head, list(CASE WHEN t.word IS NULL THEN '<0>' WHEN f.word IS NULL THEN '<*>' ELSE '=' || t.word END ORDER BY t.i) AS template,
     count(f.word) AS fixed, count(*) FILTER (WHERE t.word IS NOT NULL AND f.word IS NULL) AS fields

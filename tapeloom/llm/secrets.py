@@ -6,11 +6,14 @@ lengths that add up, signed tokens must have a JSON header that names an algorit
 kinds (assign, access, hex) are reported as their patterns say; the method adds kinds to them:
 
 - jwt: three base64url parts whose first decodes to a JSON object with "alg"
-- der: base64 or hex of an ASN.1 SEQUENCE whose length and children fill it exactly (private and public keys, certificates)
+- der: base64 or hex of an ASN.1 SEQUENCE whose lengths fill it at every depth and whose fields are those of a key or
+  certificate: PKCS#1, DSA, SEC 1, PKCS#8 (plain or encrypted), SubjectPublicKeyInfo, X.509, PKCS#12
 - ssh: base64 or hex of length-prefixed fields that begin with an SSH key type, or an openssh-key-v1 container
 
-Encoded lines that follow each other are one run. Each line start in it is tried as the start of a key; the decoded
-lengths say where the key ends, which must be a line end. So no pair of lines has to be decoded that can't be a key.
+Base64 is read in both alphabets. Encoded lines that follow each other are one run, also where they are indented,
+quoted, or prefixed, or where the line feed is written as an escape. Every place in a run at which a key could begin is
+tried; the decoded lengths say where it ends, which must be a line end. So no pair of places has to be decoded that
+can't be a key. Base64 or hex of a whole PEM text is decoded and scanned once more; its span is that of the outer run.
 
 The scan is one Arrow map without a shuffle; memory is one Arrow batch.
 """
@@ -21,6 +24,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,10 +41,21 @@ _ASSIGN_HINTS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,}+")
-# runs of lines as long as the shortest SSH fields, of 12 bytes; a SEQUENCE has 16 or more
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/\r\n]{16})[A-Za-z0-9+/]++(?:\r?\n[A-Za-z0-9+/]++)*+={0,2}")
-_BASE16 = re.compile(r"(?<![0-9A-Fa-f])(?=[0-9A-Fa-f\r\n]{24})[0-9A-Fa-f]++(?:\r?\n[0-9A-Fa-f]++)*+")
-_LINE = re.compile(r"[A-Za-z0-9+/]+")
+# a line break as a text has it: spaces, quotes and commas, a line feed or its escape, and what may stand before the next line
+_BREAK = r"""[\x20\t"',;]*(?:\r?\n|(?:\\{1,2}r)?\\{1,2}n)[\x20\t>#*|"']*"""
+
+
+def _runs(chars: str, least: int, tail: str = "") -> re.Pattern:
+    return re.compile(rf"(?<![{chars}])(?=[{chars}]{{{least}}}|[{chars}]{{1,{least}}}{_BREAK}[{chars}])[{chars}]++(?:{_BREAK}[{chars}]++)*+{tail}")
+
+
+# as long as the shortest SSH fields, of 12 bytes; a SEQUENCE has 16 or more
+_BASE64, _BASE16 = _runs("A-Za-z0-9+/_-", 16, "={0,2}"), _runs("0-9A-Fa-f", 24)
+_SEGMENT = {6: re.compile(_BREAK + "|([A-Za-z0-9+/_-]+)"), 4: re.compile(_BREAK + "|([0-9A-Fa-f]+)")}
+# how a SEQUENCE, SSH fields, a container and a PEM text begin
+_BEGIN = {6: re.compile("M[A-P]|AAAA|b3BlbnNzaC1r|LS0tLS1CRUdJTi"), 4: re.compile("30|000000|6f70656e7373682d|2d2d2d2d2d424547494e", re.I)}
+_PEM, _PEM_END = b"-----BEGIN ", re.compile(rb"-----END [A-Z0-9 ]+-----")
+_STANDARD = str.maketrans("-_", "+/")
 _SSH_TYPES = (b"ssh-", b"ecdsa-", b"sk-ssh-", b"sk-ecdsa-")
 _CONTAINER = b"openssh-key-v1\0"
 
@@ -58,21 +73,54 @@ def der_length(b: bytes, at: int) -> tuple[int, int] | None:
     return (start, start + n) if start + n <= len(b) else None
 
 
+_TAGS = {0x02: "I", 0x03: "B", 0x04: "O", 0x05: "N", 0x06: "o", 0x30: "S", 0xA0: "0", 0xA1: "1"}
+# the fields of a SEQUENCE, those of its own SEQUENCEs in brackets
+_SHAPES = re.compile(r"(?P<rsa>I{9}(\(S*\))?)|(?P<public>II)|(?P<dsa>I{6})|(?P<pkcs8>I\(o[NoS]?\)O0?1?)|(?P<sealed>\(o[NoS]?\)O)|(?P<spki>\(o[NoS]?\)B)|(?P<sec1>IO0?1?)|(?P<signed>\([^()]+\)\(o[NoS]?\)B)|(?P<pkcs12>I\(o0\)(\([^()]*\))?)")
+
+
+def _elements(b: bytes, at: int, end: int) -> list[tuple[int, int, int]]:
+    """(tag, start, end) of the contents of each element from `at` to `end`, which they fill."""
+    out = []
+    while at < end:
+        start, stop = der_length(b, at)
+        out.append((b[at], start, stop))
+        at = stop
+    return out
+
+
 def is_der(b: bytes) -> bool:
-    """A SEQUENCE that fills b, whose first child is an INTEGER, SEQUENCE or tagged version; at every depth the children fill a constructed element."""
-    if len(b) < 16 or b[0] != 0x30 or (top := der_length(b, 0)) is None or top[1] != len(b) or b[top[0]] not in (0x02, 0x30, 0xA0):
+    """A SEQUENCE that fills b, with elements that fill constructed ones at every depth, and the fields of a key or certificate."""
+    if len(b) < 16 or b[0] != 0x30 or (top := der_length(b, 0)) is None or top[1] != len(b) or b[top[0]] not in (0x02, 0x30):
         return False
-    pending, children = [top], []
+    pending = [top]
     while pending:
-        (at, end), n = pending.pop(), 0
+        at, end = pending.pop()
         while at < end:
             if (x := der_length(b, at)) is None or x[1] > end:
                 return False
             if b[at] & 0x20:
                 pending.append(x)
-            at, n = x[1], n + 1
-        children.append(n)
-    return children[0] >= 2
+            at = x[1]
+    fields = _elements(b, *top)
+    name = lambda tag: _TAGS.get(tag, "?")
+    shape = "".join("(" + "".join(name(t) for t, *_ in _elements(b, x, y)) + ")" if tag == 0x30 else name(tag) for tag, x, y in fields)
+    if (m := _SHAPES.fullmatch(shape)) is None:
+        return False
+    first, size = int.from_bytes(b[fields[0][1] : fields[0][2]], "big"), [y - x for _, x, y in fields]
+    match m.lastgroup:
+        case "rsa" | "dsa":
+            return first <= 1 and size[1] >= 32
+        case "public":
+            return size[0] >= 32 and 1 <= size[1] <= 8 and b[fields[1][2] - 1] % 2 == 1
+        case "pkcs8":
+            return first <= 1 and size[2] >= 16
+        case "sec1":
+            return first == 1 and 16 <= size[1] <= 72
+        case "pkcs12":
+            return first == 3
+        case "sealed" | "spki":
+            return size[1] >= 16
+    return size[2] >= 16
 
 
 def is_ssh(b: bytes) -> bool:
@@ -114,18 +162,25 @@ def is_signed_token(header: str) -> bool:
 
 
 class _Encoded:
-    """A run of base64 or hex lines: its characters in a row, where lines start in them, and line ends with their place in the text."""
+    """A run of base64 or hex lines: its characters in a row, where lines start and end in them, and their places in the text."""
 
     def __init__(self, run: re.Match, bits: int):
-        lines = [m.span() for m in _LINE.finditer(run.string, *run.span())]
-        self.bits, self.body = bits, "".join(run.string[a:b] for a, b in lines)
-        self.starts, self.ends, at = [], {}, 0
+        lines = [m.span(1) for m in _SEGMENT[bits].finditer(run.string, *run.span()) if m[1]]
+        self.bits, body = bits, "".join(run.string[a:b] for a, b in lines)
+        self.body = body.translate(_STANDARD) if bits == 6 else body
+        self.starts, self.places, self.ends, at = [], [], {}, 0
         for a, b in lines:
-            self.starts.append((at, a))
+            self.starts.append(at)
+            self.places.append(a)
             at += b - a
             self.ends[at] = b
         self.ends[at] = run.end()  # padding belongs to the last line
 
+    def place(self, at: int) -> int:
+        """Where in the text the character at `at` stands."""
+        i = bisect_right(self.starts, at) - 1
+        return self.places[i] + at - self.starts[i]
+
     def bytes(self, start: int, end: int) -> bytes:
         """What the characters stand for; a last one that completes no byte is left out."""
         s = self.body[start:end]
@@ -177,24 +232,47 @@ class _Encoded:
         ends = [] if at is None else [e for e in (self.end(start, at + 16), self.end(start, at)) if e is not None]
         return next((e for e in ends if is_ssh(self.bytes(start, e))), None)
 
-    def keys(self) -> Iterator[tuple[str, int, int]]:
-        done = 0
-        for start, place in self.starts:
+    def pem(self, start: int) -> tuple[str, int, int]:
+        """(kind, end, end) of a PEM text whose body is a key; else no kind, and where to look on."""
+        size = 4096
+        while (m := _PEM_END.search(text := self.bytes(start, start + size))) is None and start + size < len(self.body):
+            size *= 2
+        if m is None:
+            return "", 0, len(self.body)
+        end = start - (-8 * m.end() // self.bits)
+        inner = next(_keys(text[: m.start()].decode("latin-1"), nested=True), None)
+        return (inner[0] if inner else "", end, end)
+
+    def keys(self, nested: bool) -> Iterator[tuple[str, int, int]]:
+        done, clear = 0, {}  # clear: by alignment, before what place no PEM text begins that wasn't read
+        if len(self.body) < (16 if self.bits == 6 else 24):
+            return
+        for m in _BEGIN[self.bits].finditer(self.body):
+            start = m.start()
             if start < done:
                 continue
             head = self.bytes(start, start + 24)
-            if len(head) < 12:
-                continue
             kind, e = "", None
-            if head[0] == 0x30:
+            if head.startswith(_PEM):
+                if not nested and start >= clear.get(start % 4, 0):
+                    kind, e, clear[start % 4] = self.pem(start)
+            elif len(head) < 12:
+                continue
+            elif head[0] == 0x30:
                 kind, e = "der", self.der(start, head)
             elif self.bytes(start, start + 30).startswith(_CONTAINER):
                 kind, e = "ssh", self.container(start)
             elif any(head[4:].startswith(t[: len(head) - 4]) for t in _SSH_TYPES):
                 kind, e = "ssh", self.ssh(start)
-            if e is not None:
+            if kind and e is not None:
                 done = e
-                yield kind, place, self.ends[e]
+                yield kind, self.place(start), self.ends.get(e) or self.place(e - 1) + 1
+
+
+def _keys(text: str, nested: bool = False) -> Iterator[tuple[str, int, int]]:
+    for pattern, bits in ((_BASE64, 6), (_BASE16, 4)):
+        for m in pattern.finditer(text):
+            yield from _Encoded(m, bits).keys(nested)
 
 
 def _tokens(text: str) -> Iterator[tuple[str, int, int]]:
@@ -222,9 +300,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
         if len(m[0]) % 2 == 0 and m[0].startswith("30") and is_der(bytes.fromhex(m[0])):
             found.append(("der", *m.span()))
     found += _tokens(text)
-    for pattern, bits in ((_BASE64, 6), (_BASE16, 4)):
-        for m in pattern.finditer(text):
-            found += _Encoded(m, bits).keys()
+    found += _keys(text)
     order = {k: i for i, k in enumerate(BASE_KINDS + ADDED_KINDS)}
     return sorted(set(found), key=lambda x: (x[1], order[x[0]], x[2]))
 

@@ -52,10 +52,11 @@ def places(line: Column) -> Column:
     return _let(_tokens(line), of)
 
 
-def _documents(hits: DataFrame, key: str, least: int) -> DataFrame:
-    """(key, n, first) of the keys that `least` documents have: n of them, first being the smallest id. A row without an id is a document by its text."""
-    once = hits.select("id", F.when(F.col("id").isNull(), F.col("h")).alias("h"), key).distinct()
-    return once.groupBy(key).agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= least)
+def _documents(hits: DataFrame, key: str, least: int, once: bool = False) -> DataFrame:
+    """(key, n, first) of the keys that `least` documents have: n of them, first being the smallest id. A row without an id is a document by its text.
+    once: hits have a document's key once."""
+    hits = hits if once else hits.select("id", F.when(F.col("id").isNull(), F.col("h")).alias("h"), key).distinct()
+    return hits.groupBy(key).agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= least)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_copies: int = MIN_COPIES) -> DataFrame:
@@ -66,25 +67,29 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeat a text, too, get the same answer. An empty table gives no rows; further columns of `docs` are not looked at.
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("t")).withColumn("h", F.xxhash64("t"))
-    lines = written(rows.select("id", "h", F.transform(F.split("t", "\n", -1), places).alias("of")).groupBy("id", "h").agg(F.first("of").alias("of")), "lines")
+    lines = written(rows.select("id", "h", F.transform(F.split("t", "\n", -1), places).alias("of")), "lines")
+    single = lines.groupBy("id", F.when(F.col("id").isNull(), F.col("h")).alias("h")).agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()
     each = lambda name: lines.select("id", "h", F.explode(F.array_distinct(F.transform("of", lambda x: x[name]))).alias(name)).where(F.col(name).isNotNull())
-    copies = written(_documents(each("lit"), "lit", min_copies), "copies")
+    copies = written(_documents(each("lit"), "lit", min_copies, single), "copies")
     every = lines.where("id is not null").select("id", "h", F.posexplode("of").alias("at", "x")).where("x is not null").select("id", "h", "at", "x.lit")
     literal = spread_join(every, copies, "lit", "n", by="id").where("id != first").select("id", "h", "at")
 
     # the lines of leaves that enough documents reach, with a hash of each token (null for a digit field)
-    busy = written(_documents(each("leaf"), "leaf", min_docs).drop("first"), "leaves")
+    busy = written(_documents(each("leaf"), "leaf", min_docs, single).drop("first"), "leaves")
     split = rows.select("id", "h", F.posexplode(F.split("t", "\n", -1)).alias("at", "line")).withColumn("leaf", places(F.col("line"))["leaf"]).where("leaf is not null")
     keys = F.transform(_tokens(F.col("line")), lambda w: F.when(~w.rlike("[0-9]"), F.xxhash64(w)))
-    tokens = written(spread_join(split, busy, "leaf", "n", by="h").select("id", "h", "at", "leaf", keys.alias("keys")), "tokens")
+    tokens = written(spread_join(split, busy, "leaf", "n", by="h").select("id", "h", "at", F.xxhash64("id", "h", "at").alias("ln"), "leaf", keys.alias("keys")), "tokens")
 
-    # of each line its fixed tokens: the key of a token is its leaf, place and word
-    words = F.size(F.filter("keys", lambda k: k.isNotNull()))
-    digits = F.xxhash64(F.size("keys"), F.transform("keys", lambda k, i: F.when(k.isNull(), i)))
-    tall = tokens.select("id", "h", "at", words.alias("words"), F.xxhash64("leaf", digits).alias("shape"), F.explode(F.filter(F.transform("keys", lambda k, i: F.when(k.isNotNull(), F.xxhash64("leaf", i, k))), lambda k: k.isNotNull())).alias("key"))
+    # of each line its fixed tokens: the key of a token is its leaf, place and word; the leading ones stand in every line of the leaf
+    known = lambda ks: F.size(F.filter(ks, lambda k: k.isNotNull()))
+    tall = tokens.select("ln", F.explode(F.filter(F.transform("keys", lambda k, i: F.when(k.isNotNull() & (i > 1), F.xxhash64("leaf", i, k))), lambda k: k.isNotNull())).alias("key"))
     fixed = written(tall.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs), "fixed")
-    marked = spread_join(tall, fixed, "key", "c", by="h").groupBy("id", "h", "at", "words", "shape").agg(F.sort_array(F.collect_set("key")).alias("fixed"))
-    templates = written(marked.where(2 * F.size("fixed") > F.col("words")).select("id", "h", "at", F.xxhash64("shape", "fixed").alias("template")), "marked")
+    hits = spread_join(tall, fixed, "key", "c", by="ln").groupBy("ln").agg(F.sort_array(F.collect_set("key")).alias("fixed"))
+    digits = F.xxhash64(F.size("keys"), F.transform("keys", lambda k, i: F.when(k.isNull(), i)))
+    marked = tokens.select("id", "h", "at", "ln", known(F.col("keys")).alias("words"), known(F.slice("keys", 1, 2)).alias("leading"), F.xxhash64("leaf", digits).alias("shape")).join(hits, "ln", "left")
+    n = F.size(F.coalesce("fixed", F.array().cast("array<long>")))
+    apt = marked.where(2 * (n + F.col("leading")) > F.col("words"))
+    templates = written(apt.select("id", "h", "at", F.xxhash64("shape", "fixed").alias("template")), "marked")
     common = written(_documents(templates, "template", min_docs), "templates")
     variant = spread_join(templates.where("id is not null"), common, "template", "n", by="id").where("id != first").select("id", "h", "at")
 

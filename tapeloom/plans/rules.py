@@ -29,14 +29,24 @@ def all_factors(spark, d):
 
 # cleaning and normalisation
 def clean_bars(rows: DataFrame) -> DataFrame:
-    """Bars without a date or close go, missing volume is 0, missing prices are carried on, of a day the last row stays, high and low enclose the bar."""
+    """Bars without a date or close go, missing volume is 0, missing prices are carried on, of a day the last row stays, high and low enclose the bar.
+
+    Columns are found whatever their case, volume also as vol; one that is missing is an error, as made-up amounts would
+    spoil what is computed from them. Values that are no numbers are null; an amount that is null stays so."""
+    names = {c.lower(): c for c in rows.columns}
+    names["volume"] = names.get("volume", names.get("vol"))
+    missing = [c for c in ("code", "date", "seq", "open", "high", "low", "close", "volume", "amount") if not names.get(c)]
+    if missing:
+        raise ValueError(f"bars without {', '.join(missing)}")
+    numbers = [F.expr(f"try_cast(`{names[c]}` AS double)").alias(c) for c in ("open", "high", "low", "close", "volume", "amount")]
+    rows = rows.select(*(F.col(names[c]).alias(c) for c in ("code", "date", "seq")), *numbers)
     w = Window.partitionBy("code").orderBy("date", "seq")
     carried = lambda c: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(c)
     known = rows.where("code is not null and date is not null and close is not null")
-    filled = known.select("code", "date", "seq", carried("open"), carried("high"), carried("low"), "close", F.coalesce("volume", F.lit(0.0)).alias("volume"))
+    filled = known.select("code", "date", "seq", carried("open"), carried("high"), carried("low"), "close", F.coalesce("volume", F.lit(0.0)).alias("volume"), "amount")
     last = op.first_in(filled, ["code", "date"], [F.desc("seq")]).drop("rank", "seq")
     top, bottom = F.greatest("high", "low"), F.least("high", "low")
-    return last.select("code", "date", "open", F.greatest("open", "close", top).alias("high"), F.least("open", "close", bottom).alias("low"), "close", "volume")
+    return last.select("code", "date", "open", F.greatest("open", "close", top).alias("high"), F.least("open", "close", bottom).alias("low"), "close", "volume", "amount")
 
 
 #: Bars with faults by a fixed rule: gaps, high and low exchanged, lost volume, a second row of the day.
@@ -46,23 +56,24 @@ _FAULTS = {
     "low": "CASE WHEN code % 5 = 0 THEN high ELSE low END",
     "close": "CASE WHEN day(date) = 13 THEN NULL ELSE close END",
     "volume": "CASE WHEN day(date) % 4 = 0 THEN NULL ELSE volume END",
+    "amount": "CASE WHEN day(date) % 6 = 0 THEN 'n/a' ELSE CAST(amount AS VARCHAR(40)) END",
 }
-_DIRTY = f"dirty AS (SELECT code, date, 0 AS seq, {', '.join(f'{x} AS {c}' for c, x in _FAULTS.items())} FROM bars UNION ALL SELECT code, date, 1, open + 1, high + 1, low, close + 1, volume FROM bars WHERE day(date) % 5 = 0)"
+_DIRTY = f"dirty AS (SELECT code, date, 0 AS seq, {', '.join(f'{x} AS {c}' for c, x in _FAULTS.items())} FROM bars UNION ALL SELECT code, date, 1, open + 1, high + 1, low, close + 1, volume, CAST(amount AS VARCHAR) FROM bars WHERE day(date) % 5 = 0)"
 
 
 @query(
     "p10_clean_bars",
     f"""{_BARS}, {_DIRTY}, k AS (SELECT * FROM dirty WHERE close IS NOT NULL),
-f AS (SELECT code, date, seq, last_value(open IGNORE NULLS) OVER w AS open, last_value(high IGNORE NULLS) OVER w AS high, last_value(low IGNORE NULLS) OVER w AS low, close, coalesce(volume, 0) AS volume
+f AS (SELECT code, date, seq, last_value(open IGNORE NULLS) OVER w AS open, last_value(high IGNORE NULLS) OVER w AS high, last_value(low IGNORE NULLS) OVER w AS low, close, coalesce(volume, 0) AS volume, TRY_CAST(amount AS DOUBLE) AS amount
   FROM k WINDOW w AS (PARTITION BY code ORDER BY date, seq ROWS UNBOUNDED PRECEDING)),
-u AS (SELECT code, date, arg_max(row(open, high, low, close, volume), seq) AS x FROM f GROUP BY code, date)
-SELECT code, date, {r('x[1]')} AS open, {r('greatest(x[1], x[2], x[3], x[4])')} AS high, {r('least(x[1], x[2], x[3], x[4])')} AS low, {r('x[4]')} AS close, x[5] AS volume FROM u""",
+u AS (SELECT code, date, arg_max(row(open, high, low, close, volume, amount), seq) AS x FROM f GROUP BY code, date)
+SELECT code, date, {r('x[1]')} AS open, {r('greatest(x[1], x[2], x[3], x[4])')} AS high, {r('least(x[1], x[2], x[3], x[4])')} AS low, {r('x[4]')} AS close, x[5] AS volume, {r('x[6]', 2)} AS amount FROM u""",
 )
 def cleaned(spark, d):
     b = m.bars(spark, d)
     dirty = b.select("code", "date", F.lit(0).alias("seq"), *(F.expr(x).alias(c) for c, x in _FAULTS.items()))
-    again = b.where("day(date) % 5 = 0").select("code", "date", F.lit(1).alias("seq"), (F.col("open") + 1).alias("open"), (F.col("high") + 1).alias("high"), "low", (F.col("close") + 1).alias("close"), "volume")
-    return clean_bars(dirty.unionByName(again)).select("code", "date", *(rounded(F.col(c)).alias(c) for c in ("open", "high", "low", "close")), "volume")
+    again = b.where("day(date) % 5 = 0").select("code", "date", F.lit(1).alias("seq"), (F.col("open") + 1).alias("open"), (F.col("high") + 1).alias("high"), "low", (F.col("close") + 1).alias("close"), "volume", F.col("amount").cast("string").alias("amount"))
+    return clean_bars(dirty.unionByName(again)).select("code", "date", *(rounded(F.col(c)).alias(c) for c in ("open", "high", "low", "close")), "volume", rounded(F.col("amount"), 2).alias("amount"))
 
 
 @query("p05_change_amplitude", f"{_BARS}, p AS (SELECT *, CASE WHEN lag(close) {_BY} > 0 THEN lag(close) {_BY} WHEN open > 0 THEN open END AS base FROM bars) SELECT code, date, {r('coalesce((close - base) / base * 100, 0)')} AS change_rate, {r('coalesce((high - low) / base * 100, 0)')} AS amplitude FROM p")
@@ -100,13 +111,6 @@ def actions(bars: DataFrame) -> DataFrame:
     return years.withColumn("factor", 0.99 / F.when(F.year("day") % 2 == 0, 1.1).otherwise(1.0))
 
 
-@query("j09_next_bar", f"{_BARS}, {_ACTIONS} SELECT a.code, a.day, b.date AS next_date, {r('b.close')} AS next_close FROM actions a ASOF LEFT JOIN bars b ON a.code = b.code AND a.day <= b.date")
-def next_bar(spark, d):
-    b = m.bars(spark, d)
-    j = op.asof_right(actions(b), b.select("code", "date", "close"), "code", "day", "date", ["date", "close"])
-    return j.select("code", "day", F.col("date").alias("next_date"), rounded(F.col("close")).alias("next_close"))
-
-
 @query("f53_adjusted_close", f"{_BARS}, {_ACTIONS} SELECT b.code, b.date, {r('b.close * coalesce((SELECT product(factor) FROM actions a WHERE a.code = b.code AND a.day > b.date), 1)')} AS adjusted FROM bars b")
 def adjusted_close(spark, d):
     """A bar's close times the factors of all later actions: a running sum of logarithms from the end, no range join."""
@@ -117,13 +121,6 @@ def adjusted_close(spark, d):
     return rows.withColumn("sum", F.sum("f").over(later) - F.sum("f").over(own)).where("close is not null").select("code", "date", rounded(F.col("close") * F.exp("sum")).alias("adjusted"))
 
 
-@query("f54_total_return", f"{_RET} SELECT code, date, {r('first_value(close) OVER w * product(1 + coalesce(ret, 0) + CASE WHEN ret IS NULL THEN 0 ELSE 0.02 / 252 END) OVER w', 4)} AS total_return FROM enriched WINDOW w AS (PARTITION BY code ORDER BY date ROWS UNBOUNDED PRECEDING)")
-def total_return(spark, d):
-    w = by_code().rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(F.col("ret").isNull(), 1.0).otherwise(1 + F.col("ret") + 0.02 / 252)
-    return _enriched(spark, d).select("code", "date", rounded(F.first("close").over(w) * F.exp(F.sum(F.log(step)).over(w)), 4).alias("total_return"))
-
-
 # recursive indicators
 def _recursion(x: str, a: str) -> str:
     return f"list_reduce(list_transform({x}, lambda v: [v]), lambda y, v: list_append(y, y[-1] * (1 - {a}) + {a} * v[1]))"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import factors as fx
@@ -159,3 +159,19 @@ SELECT code, n, {r('f')} AS sup_f, {r('pow(1 + 2 * f / (n - 4), -(n - 4) / 2.0)'
 def largest_break(spark, d):
     b = rs.largest_break(_scan(spark, d))
     return b.select("code", "n", rounded(F.col("sup_f")).alias("sup_f"), rounded(F.col("p")).alias("p"), "break_at", "broken")
+
+
+@query(
+    "f50_volatility_states",
+    f"""{_SECTION}, v AS (SELECT t, CASE WHEN count(x) OVER w >= 20 THEN round(stddev_samp(x) OVER w, 9) END AS vol FROM section WINDOW w AS (ORDER BY t ROWS 19 PRECEDING)),
+q AS (SELECT t, vol, count(vol) OVER w AS n, quantile_cont(vol, 1.0 / 3) OVER w AS a, quantile_cont(vol, 2.0 / 3) OVER w AS b FROM v WINDOW w AS (ORDER BY t ROWS 749 PRECEDING))
+SELECT t AS date, {r('vol')} AS vol, CASE WHEN vol IS NULL OR n < 250 THEN NULL WHEN vol <= a + 1e-9 THEN 'low' WHEN vol <= b + 1e-9 THEN 'mid' ELSE 'high' END AS state FROM q""",
+)
+def volatility_states(spark, d):
+    """Thirds of the market's 20-day volatility by what was known at the date: quantiles of the last 750 dates. A row a date."""
+    w = Window.partitionBy("key").orderBy("t")
+    near, far = w.rowsBetween(-19, 0), w.rowsBetween(-749, 0)
+    v = market_returns(spark, d).withColumn("vol", F.when(F.count("x").over(near) >= 20, F.round(F.stddev_samp("x").over(near), 9)))
+    q = v.withColumns({"n": F.count("vol").over(far), "q": F.percentile("vol", F.array(F.lit(1 / 3), F.lit(2 / 3))).over(far)})
+    state = F.when(F.col("vol").isNull() | (F.col("n") < 250), None).when(F.col("vol") <= F.col("q")[0] + 1e-9, "low").when(F.col("vol") <= F.col("q")[1] + 1e-9, "mid").otherwise("high")
+    return q.select(F.col("t").alias("date"), rounded(F.col("vol")).alias("vol"), state.alias("state"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Bounds of m and w, and of the days from a window's end to tc.
 M, W, AHEAD = (0.1, 0.9), (6.0, 13.0), (1.0, 100.0)
 #: Points of the grid in tc, m and w, grid points that are refined, and halvings of the steps.
-GRID, STARTS, HALVINGS = (14, 9, 12), 4, 18
+GRID, STARTS, HALVINGS = (24, 9, 22), 6, 18
 #: Windows that are searched side by side.
 TOGETHER = 64
 FIT = "tc double, m double, w double, a double, b double, c double, phi double, rmse double, r2 double, days double"

@@ -10,6 +10,7 @@ from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Fold(Protocol):
@@ -56,7 +57,8 @@ def ordered_fold(rows: DataFrame, key: str, order: list[str], columns: list[str]
 
     arrow = [to_arrow_type(t) for _, t in kinds]
     wanted = list(dict.fromkeys((key, *order, *columns)))
-    return rows.select(*wanted).repartition(key).sortWithinPartitions(key, *order).mapInArrow(f, schema)
+    # by a hash of the key: an exchange by the key itself is left out over a bucketed table, and then the buckets aren't kept
+    return rows.select(*wanted).repartition(F.xxhash64(key)).sortWithinPartitions(key, *order).mapInArrow(f, schema)
 
 
 class Apart:

@@ -102,7 +102,9 @@ class BarReader(DataSourceReader):
             found = [(i.path, i.size) for i in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if i.type == pafs.FileType.File and not i.base_name.startswith(("_", "."))]
         return [_Split(p, a, min(a + SPLIT, size - size % WIDTH)) for p, size in found for a in range(0, size - size % WIDTH, SPLIT)]
 
-    def read(self, split: _Split) -> Iterator[pa.RecordBatch]:
+    def read(self, split: _Split | None) -> Iterator[pa.RecordBatch]:
+        if split is None:  # no files
+            return
         fs, _ = filesystem(self.path)
         kind = DAILY if self.layout == "daily" else MINUTE
         with fs.open_input_file(split.path) as f:

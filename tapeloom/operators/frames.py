@@ -35,6 +35,11 @@ def average_rank(x: str, *by: str) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count(x).over(Window.partitionBy(*by, x)) - 1) / 2
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's, as an aggregate; null where one of them doesn't vary."""
+    return over(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def zscore(x: str, *by: str) -> Column:
     w = Window.partitionBy(*by)
     return over(F.col(x) - F.avg(x).over(w), F.stddev_pop(x).over(w))

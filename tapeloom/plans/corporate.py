@@ -102,7 +102,7 @@ def factors(spark, d) -> DataFrame:
 
 
 _RIGHTS = "CASE WHEN rights > 0 AND rights_price <= 0 THEN 0 ELSE rights END"
-_WORTH = f"floor((pre_close - cash + rights_price * {_RIGHTS}) / (1 + split + {_RIGHTS}) * 100 + 0.5) / 100"
+_WORTH = f"(floor((pre_close - cash + rights_price * {_RIGHTS}) / (1 + split + {_RIGHTS}) * 100 + 0.5) / 100)"
 _FACTORS_SQL = f"""{_NEXT_SQL}, f AS (SELECT code, date, product(CASE WHEN pre_close <= 0 THEN 1 + split + {_RIGHTS} WHEN {_WORTH} <= 0 THEN 1 ELSE pre_close / {_WORTH} END) AS f FROM nxt WHERE before IS NOT NULL GROUP BY ALL),
 fb AS (SELECT bars.*, product(coalesce(f, 1)) OVER (PARTITION BY code ORDER BY date ROWS UNBOUNDED PRECEDING) AS factor FROM bars LEFT JOIN f USING (code, date)),
 fr AS (SELECT *, factor / last_value(factor) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS back FROM fb)"""

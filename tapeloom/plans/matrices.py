@@ -149,13 +149,13 @@ def sector_returns(spark, d) -> DataFrame:
 SECTOR_SQL = f"WITH {m.SQL}, {fx.ENRICHED_SQL}, {m.SECURITIES_SQL}, sr AS (SELECT sector, date, avg(ret) AS ret FROM enriched JOIN securities USING (code) WHERE ret IS NOT NULL GROUP BY ALL)"
 
 
-@query("a14_asset_correlations", f"{SECTOR_SQL} SELECT x.sector AS a, y.sector AS b, count(*) AS n, {r('corr(x.ret, y.ret)')} AS corr FROM sr x JOIN sr y ON x.date = y.date AND x.sector <= y.sector GROUP BY ALL")
+@query("a14_asset_correlations", f"{SECTOR_SQL} SELECT x.sector AS a, y.sector AS b, count(*) AS n, {r('covar_pop(x.ret, y.ret) / nullif(stddev_pop(x.ret) * stddev_pop(y.ret), 0)')} AS corr FROM sr x JOIN sr y ON x.date = y.date AND x.sector <= y.sector GROUP BY ALL")
 def asset_correlations(spark, d):
     """Pairwise complete: pairs of sectors meet by date, a few hundred a date."""
     s = sector_returns(spark, d)
     x, y = s.select("date", F.col("sector").alias("a"), F.col("ret").alias("x")), s.select("date", F.col("sector").alias("b"), F.col("ret").alias("y"))
-    c = F.corr("x", "y")
-    return x.join(y, "date").where("a <= b").groupBy("a", "b").agg(F.count("*").alias("n"), rounded(F.when(~F.isnan(c), c)).alias("corr"))
+    c = op.correlation("x", "y")
+    return x.join(y, "date").where("a <= b").groupBy("a", "b").agg(F.count("*").alias("n"), rounded(c).alias("corr"))
 
 
 # covariance and portfolios

@@ -97,7 +97,7 @@ def daily_ics(spark, d) -> DataFrame:
     e = fx.enriched(m.bars(spark, d)).select("code", "date", *(fx.FACTORS[c][0]().alias(c) for c in PANEL), forward.alias("fwd"))
     tall = e.select("date", "fwd", F.explode(F.array(*(F.struct(F.lit(c).alias("key"), F.col(c).alias("v")) for c in PANEL))).alias("f")).select("date", "fwd", "f.*").where("v IS NOT NULL AND fwd IS NOT NULL")
     k = tall.select("key", "date", op.average_rank("v", "key", "date").alias("a"), op.average_rank("fwd", "key", "date").alias("b"))
-    g = k.groupBy("key", F.col("date").alias("t")).agg(F.count("*").alias("n"), F.corr("a", "b").alias("x"))
+    g = k.groupBy("key", F.col("date").alias("t")).agg(F.count("*").alias("n"), op.correlation("a", "b").alias("x"))
     return g.where("n >= 5 AND x IS NOT NULL AND NOT isnan(x)").select("key", "t", "x")
 
 

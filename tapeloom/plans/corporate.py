@@ -96,9 +96,9 @@ def factors(spark, d) -> DataFrame:
     """Bars with the running product of their actions' factors."""
     b = m.bars(spark, d)
     n = _next_bars(b, _events(spark, d))
-    of = n.select("code", "date", F.log(action_factor(n)).alias("f")).groupBy("code", "date").agg(F.sum("f").alias("f"))
+    of = n.select("code", "date", action_factor(n).alias("f")).groupBy("code", "date").agg(F.product("f").alias("f"))
     w = by_code().rowsBetween(Window.unboundedPreceding, 0)
-    return b.join(of, ["code", "date"], "left").withColumn("factor", F.exp(F.sum(F.coalesce("f", F.lit(0.0))).over(w))).drop("f")
+    return b.join(of, ["code", "date"], "left").withColumn("factor", F.product(F.coalesce("f", F.lit(1.0))).over(w)).drop("f")
 
 
 _RIGHTS = "CASE WHEN rights > 0 AND rights_price <= 0 THEN 0 ELSE rights END"
@@ -123,10 +123,10 @@ def factor_ratios(spark, d):
     return _ratios(spark, d).select("code", "date", rounded(F.col("back")).alias("back_ratio"), rounded(F.col("factor")).alias("forward_ratio"))
 
 
-@query("f53_adjusted_prices", f"{_FACTORS_SQL} SELECT code, date, {', '.join(f'{r(f"{c} * back", 5)} AS {c}' for c in PRICES)}, {r('back')} AS adj_factor FROM fr")
+@query("f53_adjusted_prices", f"{_FACTORS_SQL} SELECT code, date, {', '.join(f'{r(f"{c} * back")} AS {c}' for c in PRICES)}, {r('back')} AS adj_factor FROM fr")
 def adjusted_prices(spark, d):
     """All four prices in the money of the last bar, and the ratio."""
-    return _ratios(spark, d).select("code", "date", *(rounded(F.col(c) * F.col("back"), 5).alias(c) for c in PRICES), rounded(F.col("back")).alias("adj_factor"))
+    return _ratios(spark, d).select("code", "date", *(rounded(F.col(c) * F.col("back")).alias(c) for c in PRICES), rounded(F.col("back")).alias("adj_factor"))
 
 
 @query("j18_factor_join", f"{_FACTORS_SQL} SELECT code, date, {r('close')} AS close, CASE WHEN day(date) % 7 <> 0 THEN {r('factor')} END AS factor FROM fb")

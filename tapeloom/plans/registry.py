@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from tapeloom.functions import factors as fx
 from tapeloom.functions.windows import by_code, over, rounded, rounded_sql, trailing
 from tapeloom.operators import frames as op
-from tapeloom.plans import bubbles, charts, corporate, expressions, flows, forensics, matrices, portfolio, research, rules, stored, trials, verdicts  # noqa: F401 (they register queries)
+from tapeloom.plans import bubbles, charts, corporate, expressions, flows, forensics, matrices, portfolio, research, rules, stored, trials, vendors, verdicts  # noqa: F401 (they register queries)
 from tapeloom.plans.catalog import oracle_sql, queries, query  # noqa: F401
 from tapeloom.sources import market as m
 from tapeloom.streaming import events

@@ -178,13 +178,27 @@ def constraint_atr(spark, d):
     return _enriched(spark, d).select("code", "date", rounded(F.coalesce(F.avg("tr").over(trailing(14)), F.lit(0.0))).alias("atr"))
 
 
-@query("r14_position_size", f"{_RET}, a AS (SELECT code, date, close, coalesce(avg(tr) OVER (PARTITION BY code ORDER BY date ROWS 13 PRECEDING), 0) AS atr FROM enriched) SELECT code, date, CAST(least(coalesce(floor(round(1e7 * 0.01 / nullif(2 * atr, 0) / 100, 9)) * 100, 0), floor(round(1e7 / close / 100, 9)) * 100) AS BIGINT) AS shares FROM a")
-def position_size(spark, d, capital: float = 1e7, risk: float = 0.01, lot: int = 100):
-    """Whole lots so that a fall of two average ranges loses `risk` of the capital, no more than the capital buys."""
-    atr = F.coalesce(F.avg("tr").over(trailing(14)), F.lit(0.0))
-    lots = lambda x: F.floor(F.round(x / lot, 9)) * lot
-    shares = F.least(F.coalesce(lots(over(F.lit(capital * risk), 2 * atr)), F.lit(0)), lots(F.lit(capital) / F.col("close")))
-    return _enriched(spark, d).select("code", "date", shares.cast("long").alias("shares"))
+#: What a position's risk is multiplied by where shares can't be sold on the day they are bought.
+PENALTY = {"CN": 1.2, "US": 1.0, "HK": 1.0}
+
+
+@query(
+    "r14_position_size",
+    f"""{_RET}, a AS (SELECT code, date, close, close - 2 * coalesce(avg(tr) OVER (PARTITION BY code ORDER BY date ROWS 13 PRECEDING), 0) AS by_range, min(low) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS bottom FROM enriched),
+b AS (SELECT *, CASE WHEN bottom > by_range THEN bottom ELSE by_range END AS stop FROM a), c AS (SELECT *, floor(round(1e7 * 0.01 / nullif((close - stop) * 1.2, 0) / 100, 6)) * 100 AS wanted, floor(round(1e7 / close / 100, 6)) * 100 AS most FROM b WHERE round(close - stop, 4) > 0)
+SELECT code, date, {r('stop')} AS stop, CAST(wanted AS BIGINT) AS shares, wanted * close > 1e7 AS capped, CAST(CASE WHEN wanted * close > 1e7 THEN most ELSE wanted END AS BIGINT) AS bought FROM c""",
+)
+def position_size(spark, d, capital: float = 1e7, risk: float = 0.01, lot: int = 100, market: str = "CN"):
+    """Whole lots so that a fall to the stop, made dearer by the market's penalty, loses `risk` of the capital; no more than the capital buys.
+
+    The stop is the higher of two average ranges below the close and the lowest low of the ten bars before. A stop that
+    isn't below the close gives no row."""
+    b = _enriched(spark, d).select("code", "date", "close", (F.col("close") - 2 * F.coalesce(F.avg("tr").over(trailing(14)), F.lit(0.0))).alias("by_range"), F.min("low").over(by_code().rowsBetween(-10, -1)).alias("bottom"))
+    b = b.withColumn("stop", F.when(F.col("bottom") > F.col("by_range"), F.col("bottom")).otherwise(F.col("by_range"))).where(F.round(F.col("close") - F.col("stop"), 4) > 0)
+    lots = lambda x: F.floor(F.round(x / lot, 6)) * lot
+    wanted = lots(over(F.lit(capital * risk), (F.col("close") - F.col("stop")) * PENALTY[market]))
+    capped = wanted * F.col("close") > capital
+    return b.select("code", "date", rounded(F.col("stop")).alias("stop"), wanted.cast("long").alias("shares"), capped.alias("capped"), F.when(capped, lots(F.lit(capital) / F.col("close"))).otherwise(wanted).cast("long").alias("bought"))
 
 
 _STATES = f"{_BARS}, a AS (SELECT code, date, close, {gated_sql('avg', 'close', 20)} AS fast, {gated_sql('avg', 'close', 60)} AS slow FROM bars), p AS (SELECT *, lag(fast) OVER w AS fast0, lag(slow) OVER w AS slow0 FROM a WINDOW w AS (PARTITION BY code ORDER BY date))"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import factors as fx
@@ -269,10 +269,41 @@ def contract(spark, d):
     return c.select("c", part(1).alias("variety"), (2000 + part(2).cast("int")).alias("year"), part(3).cast("int").alias("month"))
 
 
-@query("x22_limit_status", f"{_RET}, s AS (SELECT code, date, ret, CASE WHEN code % 3 = 0 THEN 0.2 WHEN code % 3 = 1 THEN 0.1 ELSE 0.3 END AS bound FROM enriched) SELECT code, date, CASE WHEN ret IS NULL THEN 'unknown' WHEN ret >= bound - 0.001 THEN 'limit_up' WHEN ret <= 0.001 - bound THEN 'limit_down' ELSE 'normal' END AS status FROM s")
+#: Daily limits by board; the main board's on the first day; days without any limit after listing.
+_BOARDS, _FIRST_DAY, _FREE = {"gem": (1.2, 0.8), "main": (1.1, 0.9), "beijing": (1.3, 0.7)}, (1.44, 0.64), {"gem": 5, "beijing": 1}
+_BOARD = "CASE code % 3 WHEN 0 THEN 'gem' WHEN 1 THEN 'main' ELSE 'beijing' END"
+_LIMIT_OF = " ".join(f"WHEN '{k}' THEN {{}}" for k in _BOARDS)
+
+
+def limits(board: Column, listed: Column) -> tuple[Column, Column]:
+    """(highest, lowest) close over the close before that a board allows on the `listed`-th day; null where there is no limit."""
+    free = F.coalesce(*(F.when((board == b) & (listed <= n), True) for b, n in _FREE.items()), F.lit(False))
+    first = (board == "main") & (listed == 1)
+    of = lambda i: F.when(free, None).when(first, _FIRST_DAY[i]).otherwise(F.coalesce(*(F.when(board == b, x[i]) for b, x in _BOARDS.items())))
+    return of(0), of(1)
+
+
+@query(
+    "x22_limit_status",
+    f"""{_BARS}, l AS (SELECT code, date, close, {_BOARD} AS board, row_number() OVER w AS listed, coalesce(lag(close) OVER w, open) AS pre FROM bars WINDOW w AS (PARTITION BY code ORDER BY date)),
+k AS (SELECT *, CASE WHEN board = 'gem' AND listed <= 5 OR board = 'beijing' AND listed <= 1 THEN NULL WHEN board = 'main' AND listed = 1 THEN 1.44::DOUBLE ELSE CASE board {_LIMIT_OF.format(*(x[0] for x in _BOARDS.values()))} END::DOUBLE END AS up,
+  CASE WHEN board = 'gem' AND listed <= 5 OR board = 'beijing' AND listed <= 1 THEN NULL WHEN board = 'main' AND listed = 1 THEN 0.64::DOUBLE ELSE CASE board {_LIMIT_OF.format(*(x[1] for x in _BOARDS.values()))} END::DOUBLE END AS down, CASE WHEN pre >= 1 THEN 100 ELSE 1000 END AS tick FROM l)
+SELECT code, date, board, coalesce(close / pre >= up - 0.001, false) AS limit_up, coalesce(close / pre <= down + 0.001, false) AS limit_down, coalesce(close / pre < up - 0.001, true) AS can_buy, coalesce(close / pre > down + 0.001, true) AS can_sell,
+  floor(pre * up * tick + 0.5) / tick AS up_price, floor(pre * down * tick + 0.5) / tick AS down_price, {r('close / pre', 4)} AS ratio FROM k""",
+)
 def limit_status(spark, d):
-    bound, ret = F.element_at(F.array(F.lit(0.2), F.lit(0.1), F.lit(0.3)), (F.col("code") % 3 + 1).cast("int")), F.col("ret")
-    return _enriched(spark, d).select("code", "date", F.when(ret.isNull(), "unknown").when(ret >= bound - 0.001, "limit_up").when(ret <= 0.001 - bound, "limit_down").otherwise("normal").alias("status"))
+    """Whether a close stands at its board's limit, within a thousandth. New listings have none for some days, or wider ones; the first day is measured from its open."""
+    w = by_code()
+    b = m.bars(spark, d).select("code", "date", "close", F.expr(_BOARD).alias("board"), F.row_number().over(w).alias("listed"), F.coalesce(F.lag("close").over(w), F.col("open")).alias("pre"))
+    up, down = limits(F.col("board"), F.col("listed"))
+    b = b.withColumns({"up": up, "down": down, "ratio": over(F.col("close"), F.col("pre")), "tick": F.when(F.col("pre") >= 1, 100).otherwise(1000)})
+    said = lambda c, default: F.coalesce(c, F.lit(default))
+    price = lambda c: F.floor(F.col("pre") * F.col(c) * F.col("tick") + 0.5) / F.col("tick")
+    ratio = F.col("ratio")
+    return b.select(
+        "code", "date", "board", said(ratio >= F.col("up") - 0.001, False).alias("limit_up"), said(ratio <= F.col("down") + 0.001, False).alias("limit_down"), said(ratio < F.col("up") - 0.001, True).alias("can_buy"),
+        said(ratio > F.col("down") + 0.001, True).alias("can_sell"), price("up").alias("up_price"), price("down").alias("down_price"), rounded(ratio, 4).alias("ratio"),
+    )
 
 
 @query("x31_half_life_mean", f"{_RET}, k AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY date DESC) - 1 AS age FROM enriched WHERE ret IS NOT NULL) SELECT code, {r('sum(ret * pow(2, -age / 20.0)) / sum(pow(2, -age / 20.0))')} AS mean FROM k WHERE age < 250 GROUP BY code")

@@ -49,3 +49,31 @@ def test_consensus(spark):
     (r,) = got
     assert (r.code, r.valid_windows, r.days, r.days_spread, r.positive, r.rebound_days) == ("a", 2, 15.0, 5.0, 0.5, 20.0)
     assert np.isclose(r.consensus, 2 / 3) and np.isclose(r.strength, 2 / 3 / 6)
+
+
+def test_queries_follow_the_fits(spark):
+    from tapeloom.plans import bubbles, registry
+    from tapeloom.sources import market as m
+
+    data = "/root/testdata/sf0.001"
+    closes = {}
+    for r in m.bars(spark, data).orderBy("date").collect():
+        closes.setdefault(r.code, []).append((r.date, r.close))
+    last = {r.code: r for r in registry.queries()["e16_power_law_fit"](spark, data).collect()}
+    best = {(r.code, r.date): r for r in registry.queries()["e19_best_windows"](spark, data).collect()}
+    agreed = {(r.code, r.date): r for r in registry.queries()["e20_window_consensus"](spark, data).collect()}
+    assert set(last) == set(closes)
+    for code in sorted(closes)[:3]:
+        x = np.log([c for _, c in closes[code]])
+        fit = lp.fit(x[-120:][None])[0]
+        assert np.allclose([last[code].m, last[code].w, last[code].rmse, last[code].days], fit[[1, 2, 7, 9]], atol=1e-5)
+        for back in (0, 20, 80):
+            end = len(x) - back
+            fits = {n: lp.fit(x[end - n : end][None])[0] for n in bubbles.LENGTHS}
+            row, date = best[code, closes[code][end - 1][0]], closes[code][end - 1][0]
+            n = min(fits, key=lambda n: (fits[n][7], n))
+            assert row.length == n and abs(row.rmse - fits[n][7]) < 1e-5
+            valid = [f for f in fits.values() if f[8] > 0.05 and lp.M[0] < f[1] < lp.M[1] and lp.W[0] < f[2] < lp.W[1]]
+            assert ((code, date) in agreed) == bool(valid)
+            if valid:
+                assert agreed[code, date].valid_windows == len(valid) and abs(agreed[code, date].days - np.median([f[9] for f in valid])) < 1e-6

@@ -216,3 +216,33 @@ def test_strokes_of_the_bars(spark):
     got = sorted(map(tuple, registry.queries()["e61_strokes"](spark, DATA).collect()))
     want = [(c, *s) for c in {r[0] for r in rows} for s in plain_strokes(sorted(r[1:] for r in rows if r[0] == c))]
     assert got == sorted(want) and got
+
+
+def test_stroke_summary_follows_the_strokes(spark):
+    strokes = {}
+    for r in registry.queries()["e61_strokes"](spark, DATA).collect():
+        strokes.setdefault(r.code, []).append(r)
+    for r in registry.queries()["e61_stroke_summary"](spark, DATA).collect():
+        own = sorted(strokes.get(r.code, []), key=lambda s: s.end)
+        assert r.strokes == len(own) and r.bars >= 10
+        if own:
+            last = own[-1]
+            assert (r.direction, r.end, r.price) == (1 if last.up else -1, last.end, last.end_price)
+            assert r.held_above == (len(own) > 2 and not last.up and last.end_price > own[-3].start_price)
+        else:
+            assert (r.direction, r.end, r.held_above) == (0, None, False)
+
+
+def test_boxes_of_the_bars(spark):
+    from tapeloom.sources import market as m
+
+    rows = {}
+    for r in m.bars(spark, DATA).orderBy("date").collect():
+        rows.setdefault(r.code, []).append((r.open, r.high, r.low, r.close))
+    got = {}
+    for r in registry.queries()["e48_point_and_figure"](spark, DATA).collect():
+        got.setdefault(r.code, []).append((r.number, r.box, r.up, r.level))
+    for code, own in rows.items():
+        want = plain_boxes(own, math.log(1 + charts.SIZE), charts.REVERSAL, True)
+        have = sorted(got[code])
+        assert [(n, u) for n, _, u, _ in have] == [(n, u) for n, u, _ in want] and np.allclose([p for *_, p in have], [p for *_, p in want])

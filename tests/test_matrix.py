@@ -144,3 +144,18 @@ def test_weighted_residuals(spark):
         total = (g.w * (g.y - np.average(g.y, weights=g.w)) ** 2).sum()
         assert np.allclose(g.r2, max(0, 1 - (g.w * rest**2).sum() / max(total, 1e-12)))
     assert got.where(got.date == 7).dropna().residual.abs().max() < 1e-12
+
+
+def test_orthogonal_composite_query(spark):
+    from tapeloom.sources import market as m
+
+    f = registry.queries()["c11_orthogonal_factors"](spark, DATA).toPandas()
+    total = sum(matrices.WEIGHTS.values())
+    f["score"] = sum(f[c].fillna(0.0) * w / total for c, w in matrices.WEIGHTS.items())
+    f = f.merge(m.securities(spark, DATA).select("code", "sector").toPandas(), on="code").merge(m.bars(spark, DATA).select("code", "date", "amount").toPandas(), on=["code", "date"])
+    got = registry.queries()["c12_orthogonal_composite"](spark, DATA).toPandas()
+    both = f.merge(got, on=["code", "date"])
+    assert len(both) == len(got) == len(f) and np.allclose(both.score, both.composite_score)
+    for _, g in list(both.groupby("date"))[::50]:
+        x = np.column_stack([np.ones(len(g)), pd.get_dummies(g.sector).to_numpy(float), np.log(g.amount)])
+        assert np.allclose(g.residual, g.score - x @ np.linalg.lstsq(x, g.score.to_numpy(), rcond=None)[0], atol=1e-6)

@@ -82,6 +82,13 @@ class Table:
     def exists(self, spark: SparkSession) -> bool:
         return spark.catalog.tableExists(self.name)
 
+    def whole(self, spark: SparkSession) -> bool:
+        """Whether the table is there and its writer's mark still lies in its folder, which somebody else may have cleared."""
+        if not self.exists(spark):
+            return False
+        fs, p = _fs(spark, f"{self.location(spark)}/_SUCCESS")
+        return fs.exists(p)
+
     def create(self, df: DataFrame) -> DataFrame:
         """Writes df: one exchange by the bucket column, then a file a partition and bucket."""
         spark = df.sparkSession
@@ -153,4 +160,4 @@ def of_inputs(spark: SparkSession, name: str, sf_dir: str, inputs: tuple[str, ..
     """The table that `make` gives, written once for each state of its input files in this application."""
     state = "\n".join([sf_dir, *(state_of(spark, f"{sf_dir}/{i}.parquet") for i in inputs)])
     table = Table(f"{name}_{hashlib.sha256(state.encode()).hexdigest()[:16]}", key, part, bucket)
-    return table, table.read(spark) if table.exists(spark) else table.create(make())
+    return table, table.read(spark) if table.whole(spark) else table.create(make())

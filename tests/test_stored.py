@@ -38,6 +38,15 @@ def test_a_changed_input_is_rolled_up_again(spark, tmp_path):
     assert m.bars(spark, str(tmp_path)).select("code").distinct().count() == 2
 
 
+def test_a_cleared_table_is_written_again(spark):
+    make = lambda: spark.createDataFrame([(1, 1), (2, 1)], "id long, part int")
+    t, first = lake.of_inputs(spark, "cleared", DATA, ("region",), ("id",), "part", "id", make)
+    assert first.count() == 2 and lake.of_inputs(spark, "cleared", DATA, ("region",), ("id",), "part", "id", None)[1].count() == 2
+    fs, p = lake._fs(spark, t.location(spark))
+    fs.delete(p, True)
+    assert lake.of_inputs(spark, "cleared", DATA, ("region",), ("id",), "part", "id", make)[1].count() == 2
+
+
 @pytest.fixture
 def table(spark):
     t = lake.Table(f"t_{np.random.default_rng().integers(1 << 60)}", ("id",), "part", "id")

@@ -16,24 +16,34 @@ blocks are compared level by level: node pairs beyond reach go, node pairs of wh
 linked count as a whole, the others are followed; what is left at the last level is compared vector by
 vector, in double precision where single doesn't decide. What a block pair leaves are counts by vector
 and an edge for each join of two of the blocks' components, not its links.
+
+Blocks are written once, a folder each. Of a pair of blocks only the names are shuffled: its task reads
+the blocks from the shared folder, so that the disk grows with the vectors, not with the block pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import free_memory, spread_join, written
+from tapeloom.llm.common import free_memory, shared_path, spread_join, written
 from tapeloom.llm.near_dedup import components
+from tapeloom.llm.warc import filesystem
 
 #: Vectors of one block at most, and of one chunk of a product.
 BLOCK, CHUNK = 4096, 512
+#: Blocks of one side of a task's pairs, at most, and bytes of vectors that a task keeps.
+SIDE, KEPT = 8, 128 << 20
 #: Children of a split node, at most, and vectors of a node that a task deals out to them, about.
 FANOUT, SHARE = 64, 32_768
 #: What single precision may be wrong by in a squared distance; what a stored radius is rounded up by.
@@ -285,29 +295,66 @@ def _built(table: pa.Table, cosine: float) -> pa.Table:
     return out
 
 
-def _compared(table: pa.Table, cosine: float) -> pa.Table:
-    """Two blocks, rows of side 0 and 1: counts by vector, and edges between components of their own."""
-    table = table.sort_by([("side", "ascending"), ("pos", "ascending")])
-    cut = int(np.searchsorted(table.column("side").to_numpy(), 1))
-    sides, blocks, width = (table.slice(0, cut), table.slice(cut)), [], len(table.column("vec")[0].as_py()) // 8
-    for t in sides:
+class Block:
+    """A written block, as pairs of blocks are compared: its tree, weights, own components and keys."""
+
+    def __init__(self, t: pa.Table) -> None:
+        t = t.sort_by("pos")
         up, radius = (np.array(t.column(c).to_pylist()) for c in ("up", "radius"))
-        blocks.append((Cover(_stack(t.column("vec"), width), list(up.T), list(radius.T)), t.column("w").to_numpy()))
-    joined = Joined(table.num_rows)
-    own = np.concatenate((sides[0].column("own").to_numpy(), sides[1].column("own").to_numpy() + cut))
+        self.tree = Cover(_stack(t.column("vec"), len(t.column("vec")[0].as_py()) // 8), list(up.T), list(radius.T))
+        self.w, self.own, self.rep = (t.column(c).to_numpy() for c in ("w", "own", "rep"))
+        self.sig = t.column("sig").combine_chunks().cast(pa.binary())
+        self.size = self.tree.x.nbytes + self.tree.single.nbytes
+
+
+def _blocks(path: str) -> Callable[[str], Block]:
+    """Reads blocks from their folders under `path`; those read last are kept, up to KEPT bytes of vectors."""
+    fs, root = filesystem(path)
+    kept: OrderedDict[str, Block] = OrderedDict()
+
+    def read(node: str) -> Block:
+        if node not in kept:
+            files = [x.path for x in fs.get_file_info(pafs.FileSelector(f"{root}/node={node}")) if x.base_name.endswith(".parquet")]
+            parts = []
+            for f in files:
+                with fs.open_input_file(f) as opened:
+                    parts.append(pq.ParquetFile(opened).read(["sig", "rep", "w", "vec", "pos", "own", "up", "radius"]))
+            kept[node] = Block(pa.concat_tables(parts))
+        kept.move_to_end(node)
+        while len(kept) > 2 and sum(x.size for x in kept.values()) > KEPT:
+            kept.popitem(last=False)
+        return kept[node]
+
+    return read
+
+
+def _compared(a: Block, b: Block, cosine: float) -> pa.RecordBatch:
+    """Two blocks: counts by vector, and edges between components of their own."""
+    cut = len(a.own)
+    own = np.concatenate((a.own, b.own + cut))
+    joined = Joined(len(own))
     joined.join(np.arange(len(own)), own)
     before = joined.of.copy()
-    counts = np.concatenate(links(blocks[0][0], blocks[1][0], blocks[0][1], blocks[1][1], joined, cosine))
+    counts = np.concatenate(links(a.tree, b.tree, a.w, b.w, joined, cosine))
     some, moved = np.flatnonzero(counts), np.flatnonzero((before != joined.of) & (before == np.arange(len(own))))
-    rep = table.column("rep").to_numpy()
-    free_memory()
+    rep = np.concatenate((a.rep, b.rep))
     n, m = len(some), len(moved)
-    return pa.table({
-        "sig": pa.concat_arrays([table.column("sig").combine_chunks().take(pa.array(some)), pa.nulls(m, pa.binary())]), "count": pa.array(np.concatenate((counts[some], np.zeros(m, np.int64)))),
+    return pa.RecordBatch.from_pydict({
+        "sig": pa.concat_arrays([pa.concat_arrays([a.sig, b.sig]).take(pa.array(some)), pa.nulls(m, pa.binary())]), "count": pa.array(np.concatenate((counts[some], np.zeros(m, np.int64)))),
         "a": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(rep[moved], pa.int64())]), "b": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(rep[joined.of[moved]], pa.int64())]),
     })
 
 
+def _tiles(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b) in an order in which blocks come again soon: neighbouring blocks are a side, a pair of sides is one task's."""
+    tasks = 4 * pairs.sparkSession.sparkContext.defaultParallelism
+    side = max(1, min(SIDE, nodes.count() // math.ceil(2 * tasks**0.5)))
+    placed = nodes.select("node", F.floor((F.row_number().over(Window.orderBy("node")) - 1) / side).alias("side"))  # a row a block
+    left, right = (placed.select(F.col("node").alias(s), F.col("side").alias(f"side_{s}")) for s in "ab")
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", F.least("side_a", "side_b").alias("first"), F.greatest("side_a", "side_b").alias("second"))
+    return met.repartition(tasks, "first", "second").sortWithinPartitions("first", "second", "a", "b").select("a", "b")
+
+
 def near_vectors(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """One row per row: `id_col`, n_links, component_id, kept.
 
@@ -325,16 +372,22 @@ def near_vectors(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec
     def build(table: pa.Table) -> pa.Table:
         return _built(table, cosine)
 
-    def compare(table: pa.Table) -> pa.Table:
-        return _compared(table, cosine)
-
     blocks, nodes, depth = upper(classes, block)
     built = "node string, sig binary, rep long, w long, vec binary, pos long, own long, up array<int>, radius array<double>, count long, comp long"
-    trees = written(blocks.groupBy("node").applyInArrow(build, built), "trees")
+    path = shared_path(df.sparkSession, "trees")
+    blocks.groupBy("node").applyInArrow(build, built).write.partitionBy("node").parquet(path)
+    trees = df.sparkSession.read.schema(built).parquet(path)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _blocks(path)
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                if (out := _compared(read(a), read(b), cosine)).num_rows:
+                    yield out
+        free_memory()
+
     pairs = block_pairs(nodes, depth, float(np.sqrt(2 - 2 * cosine))).where("a <> b")
-    sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("side")), F.struct(F.col("b").alias("node"), F.lit(1).alias("side")))).alias("s")).select("a", "b", "s.*")
-    dealt = sides.join(trees.drop("count", "comp"), "node").drop("node")
-    more = written(dealt.groupBy("a", "b").applyInArrow(compare, "sig binary, count long, a long, b long"), "links")
+    more = written(_tiles(pairs, trees.select("node").distinct()).mapInArrow(compare, "sig binary, count long, a long, b long"), "links")
     edges = trees.select(F.col("rep").alias("a"), F.col("comp").alias("b")).unionByName(more.where("a IS NOT NULL").select("a", "b")).where("a <> b")
     comps = components(edges)
     counts = trees.select("sig", "rep", "w", "count").unionByName(more.where("sig IS NOT NULL").select("sig", "count"), allowMissingColumns=True).groupBy("sig").agg(F.sum("count").alias("links"), F.max("rep").alias("rep"), F.max("w").alias("w"))

@@ -241,3 +241,20 @@ def test_merging_moments_is_exact():
     assert np.allclose(total[1], x.mean(axis=0)) and np.allclose(total[2] / 1000, np.cov(x.T, bias=True))
     none = (0, np.empty(0), np.empty((0, 0)), [])
     assert whitening.merged(none, parts[0]) is parts[0] and whitening.merged(parts[0], none) is parts[0]
+
+
+def test_block_pairs_ship_no_vectors(spark, monkeypatch):
+    """Each block is written once; the rows that the comparing stage shuffles are names of blocks, one a pair."""
+    shuffled = []
+    plain = ed._tiles
+
+    def seen(pairs, nodes):
+        out = plain(pairs, nodes)
+        shuffled.append((pairs.columns, out.columns, out.count(), nodes.count()))
+        return out
+
+    monkeypatch.setattr(ed, "_tiles", seen)
+    rows = list(enumerate(cloud(3, 120)))
+    assert found(ed.near_vectors(table(spark, rows), block=20)) == brute(rows)
+    ((given, kept, n, blocks),) = shuffled
+    assert given == kept == ["a", "b"] and blocks > 5 and n <= blocks * (blocks - 1) // 2

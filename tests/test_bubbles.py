@@ -30,6 +30,20 @@ def test_no_worse_than_a_fine_grid():
         assert lp.M[0] <= row[1] <= lp.M[1] and lp.W[0] <= row[2] <= lp.W[1] and 1 <= row[9] <= 100
 
 
+def test_noise_takes_few_designs(monkeypatch):
+    """Noise has many flat valleys: a fit stays no worse than any point of a grid, after some hundred designs, not thousands."""
+    seen, plain = [], lp._projected
+    monkeypatch.setattr(lp, "_projected", lambda y, p: (seen.append(len(p)), plain(y, p))[1])
+    y = np.log(np.random.default_rng(5).uniform(900, 2000, size=(6, 120)))
+    got = lp.fit(y)
+    assert sum(seen) <= 400 * len(y)
+    points, _ = lp._grid(120)
+    for series, row in zip(y, got):
+        centred = series - series.mean()
+        sse = min(lp.residual(np.repeat(centred[None], len(p), axis=0), p).min() for p in np.array_split(points, 10))
+        assert row[7] ** 2 * 120 <= sse * (1 + 1e-9)
+
+
 def test_windows_and_their_fits(spark):
     closes = np.exp(planted(100, 20, 0.5, 8, 0.01))
     rows = [("a", int(i), float(c)) for i, c in enumerate(closes)] + [("b", i, 1.0) for i in range(30)] + [("a", 1000, 0.0)]

@@ -159,3 +159,13 @@ def test_orthogonal_composite_query(spark):
     for _, g in list(both.groupby("date"))[::50]:
         x = np.column_stack([np.ones(len(g)), pd.get_dummies(g.sector).to_numpy(float), np.log(g.amount)])
         assert np.allclose(g.residual, g.score - x @ np.linalg.lstsq(x, g.score.to_numpy(), rcond=None)[0], atol=1e-6)
+
+
+def test_covariance_ships_no_products(spark):
+    """Pairs of blocks are dealt by their numbers: no matrix or product is in an exchange of the plan, and rows aren't gathered."""
+    rows = [(c, t, float((c * 7 + t * 13) % 11)) for c in range(60) for t in range(20)]
+    df = mx.shrunk_covariance(spark.createDataFrame(rows, "code long, t int, x double"), block=7)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == 60 * 61 // 2
+    assert "FlatMapGroups" not in plan and "SortMergeJoin" not in plan and plan.count("MapInArrow") == 2
+    assert not any("matrix" in line or "sums" in line for line in plan.splitlines() if "Exchange" in line)

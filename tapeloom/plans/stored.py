@@ -66,12 +66,14 @@ tried AS (SELECT p_partkey, place, lpad(CAST(p_partkey AS VARCHAR), 6, '0') || t
 SELECT p_partkey AS number, arg_min(h.symbol, place) AS symbol, arg_min(n, place) AS n, arg_min(volume, place) AS volume FROM tried t JOIN held h ON t.symbol = h.symbol GROUP BY p_partkey""",
 )
 def probe_suffixes(spark, d):
-    """For each bare number the first of its candidate symbols that the store holds; numbers without one are left out."""
+    """For each bare number the first of its candidate symbols that the store holds; numbers without one are left out.
+
+    Numbers of seven digits are cut to six as in the SQL and then share symbols: of equal ones that of the number itself counts, else of the least number."""
     bare, tail = F.lpad(F.col("l_partkey").cast("string"), 6, "0"), F.explode(F.array(*(F.lit(s) for s in SUFFIXES))).alias("tail")
     held = m.table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("volume")).select("*", tail)
-    held = held.where(_HELD).select(F.concat(bare, "tail").alias("symbol"), "n", "volume")
+    held = held.where(_HELD).select(F.concat(bare, "tail").alias("symbol"), "l_partkey", "n", "volume")
     tried = m.table(spark, d, "part").select("p_partkey", F.posexplode(F.array(*(F.concat(F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit(s)) for s in SUFFIXES))).alias("place", "symbol"))
-    best = F.min_by(F.struct("symbol", "n", "volume"), "place").alias("x")
+    best = F.min_by(F.struct("symbol", "n", "volume"), F.struct("place", F.col("l_partkey") != F.col("p_partkey"), "l_partkey")).alias("x")
     return tried.join(held, "symbol").groupBy(F.col("p_partkey").alias("number")).agg(best).select("number", "x.*")
 
 

@@ -136,3 +136,15 @@ def test_binary_of_nothing(spark, tmp_path):
     assert empty.count() == 0
     binary.write_bars(empty, f"{tmp_path}/again")
     assert binary.read_bars(spark, f"{tmp_path}/again").count() == 0
+
+
+def test_probed_symbols_that_numbers_share(spark, tmp_path):
+    """100000 and 1000000 to 1000009 have one symbol by the SQL's lpad, which leaves open whose counts: here the number's own, else the least one's."""
+    part = [100000, 1000000, 1000006]
+    line = [(k, float(q)) for k, q in ((1000001, 7), (100000, 3), (100000, 4), (1000006, 5))]
+    spark.createDataFrame([(k,) for k in part], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(line, "l_partkey long, l_quantity double").repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    from tapeloom.plans import registry
+
+    got = sorted(map(tuple, registry.queries()["s05_probe_suffixes"](spark, str(tmp_path)).collect()))
+    assert got == [(100000, "100000.SH", 2, 7.0), (1000000, "100000.SH", 2, 7.0), (1000006, "100000.SH", 1, 5.0)]

@@ -148,3 +148,20 @@ def test_probed_symbols_that_numbers_share(spark, tmp_path):
 
     got = sorted(map(tuple, registry.queries()["s05_probe_suffixes"](spark, str(tmp_path)).collect()))
     assert got == [(100000, "100000.SH", 2, 7.0), (1000000, "100000.SH", 2, 7.0), (1000006, "100000.SH", 1, 5.0)]
+
+
+def test_bars_have_one_exchange(spark, monkeypatch):
+    """Trades are dealt once, by code and into the table's buckets: rolled up and written without another exchange; more input makes more buckets."""
+    from tapeloom.sources import market as m
+
+    plan = m.ohlcv(m.ticks(spark, DATA, 7), "code", "date")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(lake, "BUCKET_BYTES", 1000)
+    path = f"{DATA}/lineitem.parquet"
+    assert lake.buckets_of(spark, [path]) >= 10 * lake.buckets_of(spark, [f"{DATA}/region.parquet"])
+    written = []
+    monkeypatch.setattr(lake.Table, "create", lambda self, df, buckets=None, dealt=False: written.append((df, buckets, dealt)) or df)
+    monkeypatch.setattr(lake.Table, "whole", lambda self, spark: False)
+    m.written_bars(spark, DATA)
+    ((df, buckets, dealt),) = written
+    assert dealt and df.rdd.getNumPartitions() == buckets

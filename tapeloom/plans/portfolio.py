@@ -99,7 +99,7 @@ def adjusted(spark, d):
     w = Window.partitionBy("family")
     k = p.select("*", F.row_number().over(w.orderBy("p", "id")).alias("k"), F.count("*").over(w).alias("m"))
     h = k.withColumn("c", F.sum(1 / F.col("k")).over(w))
-    rest, one = w.orderBy("k").rowsBetween(0, Window.unboundedFollowing), F.lit(1.0)
+    rest, one = w.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0), F.lit(1.0)  # from the end: a frame that shrinks is read anew for each row
     x = F.col("m") * F.col("p") / F.col("k")
     return h.select("id", "family", rounded(F.least(F.col("m") * F.col("p"), one)).alias("bonferroni"), rounded(F.least(F.min(x).over(rest), one)).alias("bh"), rounded(F.least(F.min(F.col("c") * x).over(rest), one)).alias("by_"))
 

@@ -138,3 +138,19 @@ def test_f_tail(spark):
     sample = (rng.chisquare(2, 200_000) / 2) / (rng.chisquare(30, 200_000) / 30)
     p = spark.range(1).select(rs.f_tail(F.lit(2.5), F.lit(30.0)).alias("p")).first().p
     assert abs((sample > 2.5).mean() - p) < 0.003
+
+
+def test_adjusted_reads_a_family_once(spark, tmp_path):
+    """Families of 60,000 in seconds: frames grow from one end, none shrinks towards the other."""
+    from tapeloom.plans import registry
+
+    spark.range(60_000).selectExpr("id AS p_partkey", "'b' AS p_brand").write.parquet(f"{tmp_path}/part.parquet")
+    df = registry.queries()["k02_adjusted"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "currentrow$(), unboundedfollowing$()" not in plan.lower()
+    rows = df.selectExpr("id", "bh").collect()
+    n, p = len(rows), np.arange(60_000) * 7919 % 1000 / 1000
+    order = np.lexsort((np.arange(n), p))
+    want = np.empty(n)
+    want[order] = np.minimum(np.minimum.accumulate((n * p[order] / np.arange(1, n + 1))[::-1])[::-1], 1)
+    assert np.allclose([r.bh for r in sorted(rows)], want, atol=2e-6)

@@ -25,8 +25,8 @@ def asof_right(left: DataFrame, right: DataFrame, key: str, left_time: str, righ
     none = F.lit(None)
     b = right.select(F.col(key), F.col(right_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*columns).alias("_x"))
     a = left.select(F.col(key), F.col(left_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*left.columns).alias("_row"), none.cast(b.schema["_x"].dataType).alias("_x"))
-    w = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing)
-    found = a.unionByName(b.withColumn("_row", none.cast(a.schema["_row"].dataType))).withColumn("_x", F.first("_x", ignorenulls=True).over(w)).where("_side = 0")
+    w = Window.partitionBy(key).orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)  # from the end: a frame that shrinks is read anew for each row
+    found = a.unionByName(b.withColumn("_row", none.cast(a.schema["_row"].dataType))).withColumn("_x", F.last("_x", ignorenulls=True).over(w)).where("_side = 0")
     return found.select("_row.*", *(F.col(f"_x.{c}").alias(c) for c in columns))
 
 

@@ -90,7 +90,7 @@ def breakouts(spans: DataFrame, within: int = 15, apart: int = 3, late: int = 4)
     by an equi-join, not every other column."""
     by = Window.partitionBy("code")
     c = spans.withColumn("n", F.max("number").over(by) + 1)
-    on = by.orderBy("number").rowsBetween(1, Window.unboundedFollowing)
+    on = by.orderBy(F.desc("number")).rowsBetween(Window.unboundedPreceding, -1)  # the columns after it, from the end
     recent = F.col("number") >= F.col("n") - late
     c = c.withColumns({"over": F.max(F.when(recent, F.col("high"))).over(on), "under": F.min(F.when(recent, F.col("low"))).over(on)}).where((F.col("n") >= 12) & (F.col("number") >= F.greatest(F.lit(0), F.col("n") - within)) & (F.col("step") > 0))
     found = []

@@ -165,3 +165,24 @@ def test_bars_have_one_exchange(spark, monkeypatch):
     m.written_bars(spark, DATA)
     ((df, buckets, dealt),) = written
     assert dealt and df.rdd.getNumPartitions() == buckets
+
+
+def test_binary_files_of_many_symbols_share_splits_and_folders(spark, tmp_path, monkeypatch):
+    """Tasks, and what the driver lists, follow records and not symbols; a file larger than a split is still cut."""
+    rows = [(f"s{i:04}", dt.date(2020, 1, 1) + dt.timedelta(j), 1.0 * i, 2.0, 0.5, 1.5, 3.0, j, 0) for i in range(1200) for j in range(3 if i else 5000)]
+    df = spark.createDataFrame(rows, binary.SCHEMAS["daily"])
+    binary.write_bars(df.coalesce(1), f"file://{tmp_path}/t")
+    read = binary.read_bars(spark, f"file://{tmp_path}/t")
+    folders = [p for p in (tmp_path / "t").iterdir() if p.is_dir()]
+    assert len(list((tmp_path / "t").rglob("*.day"))) == 1200 and len(folders) < 20 and read.rdd.getNumPartitions() == len(folders)
+    assert sorted(map(tuple, read.select("symbol", "date", "open", "volume").collect())) == sorted((r[0], r[1], r[2], r[7]) for r in rows)
+    few = read.where("date = DATE '2020-01-02'")
+    assert few.count() == 1200 and {r.volume for r in few.collect()} == {1}
+    plain = tmp_path / "plain"
+    plain.mkdir()
+    for p in (tmp_path / "t").rglob("*.day"):
+        p.rename(plain / p.name)
+    monkeypatch.setattr(binary, "SPLIT", 32 * 1500)
+    reader = binary.BarReader(str(plain), "daily")
+    splits = reader.partitions()
+    assert len(splits) < 20 and sum(b.num_rows for s in splits for b in reader.read(s)) == len(rows)

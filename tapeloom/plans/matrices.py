@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.functions import arrays
 from tapeloom.functions import factors as fx
 from tapeloom.functions.windows import over, rounded, rounded_sql
 from tapeloom.operators import frames as op
@@ -22,7 +23,7 @@ _PANEL_SQL = f"WITH {m.SQL}, {fx.ENRICHED_SQL}, p AS (SELECT code, date, {', '.j
 
 
 def panel(spark, d) -> DataFrame:
-    return fx.enriched(m.bars(spark, d)).select("code", "date", *(fx.FACTORS[c][0]().alias(c) for c in PANEL))
+    return arrays.by_code(m.bars(spark, d), {c: arrays.FACTORS[c] for c in PANEL})
 
 
 def _z_sql(c: str) -> str:

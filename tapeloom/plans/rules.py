@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.functions import arrays
 from tapeloom.functions import factors as fx
 from tapeloom.functions.windows import by_code, gated, gated_sql, lag, lag_sql, over, rounded, rounded_sql, trailing
 from tapeloom.operators import frames as op
@@ -21,10 +22,11 @@ def _enriched(spark, d) -> DataFrame:
     return fx.enriched(m.bars(spark, d))
 
 
-# all factors and indicators at once: one exchange, one sort
+# all factors and indicators at once: one group a code, no exchange
 @query("c06_all_factors", f"{_RET} SELECT code, date, {', '.join(f'{r(sql)} AS {name}' for name, (_, sql) in fx.FACTORS.items())} FROM enriched")
 def all_factors(spark, d):
-    return _enriched(spark, d).select("code", "date", *(rounded(column()).alias(name) for name, (column, _) in fx.FACTORS.items()))
+    made = arrays.by_code(m.bars(spark, d), {name: arrays.FACTORS[name] for name in fx.FACTORS})
+    return made.select("code", "date", *(rounded(F.col(name)).alias(name) for name in fx.FACTORS))
 
 
 # cleaning and normalisation
@@ -189,8 +191,9 @@ def volume_trend(spark, d):
 
 @query("e03_trend_regime", f"{_BARS}, a AS (SELECT code, date, close, {gated_sql('avg', 'close', 120)} AS slow, {gated_sql('avg', 'close', 60)} AS mid FROM bars) SELECT code, date, CASE WHEN slow IS NULL THEN 'range' WHEN close > slow * 1.02 AND mid > slow THEN 'bull' WHEN close < slow * 0.98 THEN 'bear' ELSE 'range' END AS regime FROM a")
 def trend_regime(spark, d):
-    slow, mid, close = gated(F.avg, "close", 120), gated(F.avg, "close", 60), F.col("close")
-    return m.bars(spark, d).select("code", "date", F.when(slow.isNull(), "range").when((close > slow * 1.02) & (mid > slow), "bull").when(close < slow * 0.98, "bear").otherwise("range").alias("regime"))
+    slow, mid, close = F.col("slow"), F.col("mid"), F.col("close")
+    means = arrays.by_code(m.bars(spark, d), {"slow": lambda g: g.mean(g.close, 120), "mid": lambda g: g.mean(g.close, 60)}, keep=("close",))
+    return means.select("code", "date", F.when(slow.isNull(), "range").when((close > slow * 1.02) & (mid > slow), "bull").when(close < slow * 0.98, "bear").otherwise("range").alias("regime"))
 
 
 @query("f14_idiosyncratic_vol", f"{_RET}, x AS (SELECT code, date, ret - {gated_sql('avg', 'ret', 5)} AS own FROM enriched) SELECT code, date, {r('-1 * ' + gated_sql('stddev_samp', 'own', 20, 10) + ' * sqrt(252)')} AS value FROM x")

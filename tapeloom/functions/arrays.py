@@ -1,22 +1,29 @@
-"""Trailing windows of one code's rows as numpy arrays, and the factors by them.
+"""Trailing windows as numpy arrays over the rows of many codes, and the factors by them.
 
 Spark reads a frame that moves anew for each row, for each of its functions: with frames of 20 to 120 rows that is
-most of a query's time. Here a code's rows are one group, bounded by its trading days; on the written bars groups
-need no exchange. Values are kept with whether they are known, so that a null isn't taken for a number that isn't one.
+most of a query's time. Here batches of rows, sorted by code and date, are arrays in which unknown places keep codes
+apart. Values are kept with whether they are known, so that a null isn't taken for a number that isn't one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.functions.factors import YEAR
+from tapeloom.functions.windows import by_code as window
+
+
+NUMBERS = ("open", "high", "low", "close", "volume", "amount")
+#: Rows that are arrays together, at least.
+CHUNK = 20_000
 
 
 @dataclass(frozen=True, eq=False)
@@ -55,8 +62,8 @@ class Series:
     def map(self, f: Callable) -> Series:
         return Series(f(self.v), self.known)
 
-    def filled(self, x: float) -> Series:
-        return Series(np.where(self.known, self.v, x), np.ones(len(self.v), bool))
+    def filled(self, x: float, there: np.ndarray) -> Series:
+        return Series(np.where(self.known, self.v, x), there)
 
     def where(self, test: np.ndarray) -> Series:
         return Series(self.v, self.known & test)
@@ -68,14 +75,28 @@ def _greatest(*xs: Series) -> Series:
 
 
 class Rows:
-    """A code's rows in the order of their dates: columns as attributes, and series of what their last n rows give,
-    unknown below `least` (default n) known ones."""
+    """Rows of codes one after the other, in the order of their dates, `reach` unknown places before each code: columns
+    as attributes, and series of what the last n rows give, unknown below `least` (default n) known ones."""
 
-    def __init__(self, t: pa.Table) -> None:
+    def __init__(self, t: pa.Table, starts: np.ndarray, reach: int) -> None:
         self._kept: dict = {}
-        for c in t.column_names:
-            if pa.types.is_floating(t[c].type):
-                setattr(self, c, Series(pc.fill_null(t[c], 0.0).to_numpy(), pc.is_valid(t[c]).to_numpy()))
+        self.reach, self.at = reach, np.arange(len(starts)) + reach * np.cumsum(starts)
+        size = len(starts) + reach * int(starts.sum())
+        self.there = self._placed(np.ones(len(starts), bool), size)
+        for c in NUMBERS:
+            setattr(self, c, Series(self._placed(pc.fill_null(t[c], 0.0).to_numpy(), size), self._placed(pc.is_valid(t[c]).to_numpy(), size)))
+
+    def _placed(self, x: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(size, x.dtype)
+        out[self.at] = x
+        return out
+
+    def array(self, x: Series) -> pa.Array:
+        return pa.array(x.v[self.at], pa.float64(), mask=~x.known[self.at])
+
+    def _within(self, n: int) -> None:
+        if n > self.reach:
+            raise ValueError(f"{n} rows back, but codes are {self.reach} places apart")
 
     def __getattr__(self, name: str) -> Series:
         """Columns that follow from others, made once."""
@@ -91,6 +112,7 @@ class Rows:
 
     def _frames(self, x: Series, n: int, fill: float) -> np.ndarray:
         """A row of n values for each row, `fill` where there is none or it isn't known."""
+        self._within(n)
         make = lambda: np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(n - 1, fill), np.where(x.known, x.v, fill)]), n)
         return self._once(("frames", x, n, fill), make)
 
@@ -101,6 +123,7 @@ class Rows:
         return self.count(x, n) >= (n if least is None else least)
 
     def lag(self, x: Series, n: int = 1) -> Series:
+        self._within(n)
         k = min(n, len(x.v))
         return Series(np.concatenate([np.zeros(k), x.v[: len(x.v) - k]]), np.concatenate([np.zeros(k, bool), x.known[: len(x.v) - k]]))
 
@@ -182,16 +205,15 @@ _DERIVED: dict[str, Callable[[Rows], Series]] = {
     "ret": lambda g: g.close / g.prev - 1,
     "delta": lambda g: g.close - g.prev,
     "tr": lambda g: _greatest(g.high - g.low, (g.high - g.prev).map(np.abs), (g.low - g.prev).map(np.abs)).where(g.prev.known),
-    "gain": lambda g: g.delta.map(lambda v: np.maximum(v, 0.0)).filled(0.0),
-    "loss": lambda g: g.delta.map(lambda v: np.maximum(-v, 0.0)).filled(0.0),
-    "fall_squared": lambda g: g.ret.filled(0.0).map(lambda v: np.minimum(v, 0.0) ** 2),
+    "gain": lambda g: g.delta.map(lambda v: np.maximum(v, 0.0)).filled(0.0, g.there),
+    "loss": lambda g: g.delta.map(lambda v: np.maximum(-v, 0.0)).filled(0.0, g.there),
+    "fall_squared": lambda g: g.ret.filled(0.0, g.there).map(lambda v: np.minimum(v, 0.0) ** 2),
     "illiquid": lambda g: g.ret.map(np.abs) / g.amount,
     "amivest": lambda g: g.amount / g.ret.map(lambda v: np.maximum(np.abs(v), 1e-10)),
-    "idle": lambda g: Series(((g.volume.v == 0) & g.volume.known).astype(float), np.ones(len(g.volume.v), bool)),
+    "idle": lambda g: Series(((g.volume.v == 0) & g.volume.known).astype(float), g.there),
     "spread": lambda g: (g.max(g.high, 20, 10) - g.min(g.low, 20, 10)) / g.close,
 }
 
-NUMBERS = ("open", "high", "low", "close", "volume", "amount")
 #: The factors of factors.FACTORS, by the same names.
 FACTORS: dict[str, Callable[[Rows], Series]] = {
     "f01_momentum_20d": lambda g: g.change(g.close, 20),
@@ -223,22 +245,40 @@ FACTORS: dict[str, Callable[[Rows], Series]] = {
     "w03_atr_14": lambda g: g.mean(g.tr, 14, 7),
     "w04_bollinger_upper": lambda g: g.mean(g.close, 20, 10) + g.std(g.close, 20, 10) * 2,
     "w04_bollinger_lower": lambda g: g.mean(g.close, 20, 10) - g.std(g.close, 20, 10) * 2,
-    "w08_turnover_z": lambda g: ((g.volume - g.mean(g.volume, 20, 10)) / g.std(g.volume, 20, 10)).filled(0.0),
+    "w08_turnover_z": lambda g: ((g.volume - g.mean(g.volume, 20, 10)) / g.std(g.volume, 20, 10)).filled(0.0, g.there),
     "w12_atr_20": lambda g: g.mean(g.tr, 20, 1),
     "p29_suspended": lambda g: Series((g.total(g.idle, 5) >= 3).astype(float), g.idle.known),
 }
 
 
-def by_code(bars: DataFrame, columns: dict[str, Callable[[Rows], Series]], keep: tuple[str, ...] = ()) -> DataFrame:
-    """(code, date, keep..., columns...): what `columns` make of each code's rows."""
-    rows = bars.select("code", "date", *NUMBERS)
-    schema = T.StructType([*(rows.schema[c] for c in ("code", "date", *keep)), *(T.StructField(name, T.DoubleType()) for name in columns)])
+def by_code(bars: DataFrame, columns: dict[str, Callable[[Rows], Series]], keep: tuple[str, ...] = (), reach: int = 60) -> DataFrame:
+    """(code, date, keep..., columns...): what `columns` make of each code's last `reach` rows or fewer.
 
-    def f(t: pa.Table) -> pa.Table:
-        t = t.sort_by("date")
-        g = Rows(t)
-        with np.errstate(all="ignore"):
-            made = [column(g) for column in columns.values()]
-        return pa.table([*(t[c] for c in ("code", "date", *keep)), *(pa.array(s.v, pa.float64(), mask=~s.known) for s in made)], names=["code", "date", *keep, *columns])
+    Rows get their place in their code by a window, which deals and sorts them (the written bars without an exchange);
+    a batch ends with a whole code, so a code's history, bounded by its trading days, is in memory."""
+    names = ["code", "date", *keep]
+    rows = bars.select(*names, *(c for c in NUMBERS if c not in keep), F.row_number().over(window()).alias("place_"))
+    schema = T.StructType([*(rows.schema[c] for c in names), *(T.StructField(name, T.DoubleType()) for name in columns)])
 
-    return rows.groupBy("code").applyInArrow(f, schema)
+    def made(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        g = Rows(t, starts, reach)
+        with np.errstate(all="ignore"):
+            found = [g.array(column(g)) for column in columns.values()]
+        yield from pa.table([*(t[c] for c in names), *found], names=[*names, *columns]).combine_chunks().to_batches()
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= CHUNK:
+                t = pa.Table.from_batches(held)
+                starts = t["place_"].to_numpy() == 1
+                last = int(np.flatnonzero(starts)[-1])  # the last code may go on
+                if last:
+                    yield from made(t.slice(0, last), starts[:last])
+                    held = t.slice(last).to_batches()
+        t = pa.Table.from_batches(held) if held else None
+        if t is not None and t.num_rows:
+            yield from made(t, t["place_"].to_numpy() == 1)
+
+    return rows.mapInArrow(f, schema)

@@ -22,7 +22,7 @@ def _enriched(spark, d) -> DataFrame:
     return fx.enriched(m.bars(spark, d))
 
 
-# all factors and indicators at once: one group a code, no exchange
+# all factors and indicators at once: arrays over the rows of many codes, no exchange
 @query("c06_all_factors", f"{_RET} SELECT code, date, {', '.join(f'{r(sql)} AS {name}' for name, (_, sql) in fx.FACTORS.items())} FROM enriched")
 def all_factors(spark, d):
     made = arrays.by_code(m.bars(spark, d), {name: arrays.FACTORS[name] for name in fx.FACTORS})
@@ -192,7 +192,7 @@ def volume_trend(spark, d):
 @query("e03_trend_regime", f"{_BARS}, a AS (SELECT code, date, close, {gated_sql('avg', 'close', 120)} AS slow, {gated_sql('avg', 'close', 60)} AS mid FROM bars) SELECT code, date, CASE WHEN slow IS NULL THEN 'range' WHEN close > slow * 1.02 AND mid > slow THEN 'bull' WHEN close < slow * 0.98 THEN 'bear' ELSE 'range' END AS regime FROM a")
 def trend_regime(spark, d):
     slow, mid, close = F.col("slow"), F.col("mid"), F.col("close")
-    means = arrays.by_code(m.bars(spark, d), {"slow": lambda g: g.mean(g.close, 120), "mid": lambda g: g.mean(g.close, 60)}, keep=("close",))
+    means = arrays.by_code(m.bars(spark, d), {"slow": lambda g: g.mean(g.close, 120), "mid": lambda g: g.mean(g.close, 60)}, keep=("close",), reach=120)
     return means.select("code", "date", F.when(slow.isNull(), "range").when((close > slow * 1.02) & (mid > slow), "bull").when(close < slow * 0.98, "bear").otherwise("range").alias("regime"))
 
 

@@ -12,7 +12,7 @@ from tapeloom.plans import registry
 DATA = "/root/testdata/sf0.001"
 
 
-def test_factors_of_odd_rows(spark):
+def test_factors_of_odd_rows(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = []
     for code, n in ((1, 200), (2, 1), (3, 45), (None, 90)):
@@ -22,6 +22,7 @@ def test_factors_of_odd_rows(spark):
             rows.append((code, dt.date(2020, 1, 1) + dt.timedelta(i), *(None if rng.random() < 0.01 else 0.0 if rng.random() < 0.003 else v for v in x)))
     rng.shuffle(rows)
     bars = spark.createDataFrame([(None if r[0] is None else int(r[0]), *r[1:]) for r in map(tuple, rows)], "code long, date date, open double, high double, low double, close double, volume double, amount double")
+    monkeypatch.setattr(arrays, "CHUNK", 64)
     assert set(arrays.FACTORS) == set(fx.FACTORS)
     want = fx.enriched(bars).select("code", "date", *(f().alias(name) for name, (f, _) in fx.FACTORS.items()))
     order = [F.col("code").asc_nulls_first(), "date"]
@@ -35,5 +36,5 @@ def test_no_moving_frames_over_the_bars(spark):
     """All factors, regimes and panels read a code's rows once, without an exchange before."""
     for name in ("c06_all_factors", "e03_trend_regime", "c12_orthogonal_composite"):
         text = registry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
-        assert "FlatMapGroupsInArrow" in text and "specifiedwindowframe(rowframe, -" not in text.lower()
+        assert "MapInArrow" in text and "specifiedwindowframe(rowframe, -" not in text.lower()
     assert "Exchange" not in registry.queries()["c06_all_factors"](spark, DATA)._jdf.queryExecution().executedPlan().toString()

@@ -252,19 +252,25 @@ FACTORS: dict[str, Callable[[Rows], Series]] = {
 
 
 def by_code(bars: DataFrame, columns: dict[str, Callable[[Rows], Series]], keep: tuple[str, ...] = (), reach: int = 60) -> DataFrame:
-    """(code, date, keep..., columns...): what `columns` make of each code's last `reach` rows or fewer.
-
-    Rows get their place in their code by a window, which deals and sorts them (the written bars without an exchange);
-    a batch ends with a whole code, so a code's history, bounded by its trading days, is in memory."""
+    """(code, date, keep..., columns...): what `columns` make of each code's last `reach` rows or fewer."""
     names = ["code", "date", *keep]
-    rows = bars.select(*names, *(c for c in NUMBERS if c not in keep), F.row_number().over(window()).alias("place_"))
+    rows = bars.select(*names, *(c for c in NUMBERS if c not in keep))
     schema = T.StructType([*(rows.schema[c] for c in names), *(T.StructField(name, T.DoubleType()) for name in columns)])
 
-    def made(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def made(t: pa.Table, starts: np.ndarray) -> pa.Table:
         g = Rows(t, starts, reach)
         with np.errstate(all="ignore"):
             found = [g.array(column(g)) for column in columns.values()]
-        yield from pa.table([*(t[c] for c in names), *found], names=[*names, *columns]).combine_chunks().to_batches()
+        return pa.table([*(t[c] for c in names), *found], names=[*names, *columns])
+
+    return whole_codes(rows, made, schema)
+
+
+def whole_codes(rows: DataFrame, made: Callable[[pa.Table, np.ndarray], pa.Table], schema: T.StructType | str) -> DataFrame:
+    """What `made` gives for rows of whole codes, sorted by code and date, and where codes start among them.
+
+    Rows get their place in their code by a window, which deals and sorts them (the written bars without an exchange);
+    a batch ends with a whole code, so a code's history, bounded by its trading days, is in memory."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -275,10 +281,10 @@ def by_code(bars: DataFrame, columns: dict[str, Callable[[Rows], Series]], keep:
                 starts = t["place_"].to_numpy() == 1
                 last = int(np.flatnonzero(starts)[-1])  # the last code may go on
                 if last:
-                    yield from made(t.slice(0, last), starts[:last])
+                    yield from made(t.slice(0, last), starts[:last]).combine_chunks().to_batches()
                     held = t.slice(last).to_batches()
         t = pa.Table.from_batches(held) if held else None
         if t is not None and t.num_rows:
-            yield from made(t, t["place_"].to_numpy() == 1)
+            yield from made(t, t["place_"].to_numpy() == 1).combine_chunks().to_batches()
 
-    return rows.mapInArrow(f, schema)
+    return rows.withColumn("place_", F.row_number().over(window())).mapInArrow(f, schema)

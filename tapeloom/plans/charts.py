@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from tapeloom.functions import arrays
 from tapeloom.functions.windows import rounded, rounded_sql
 from tapeloom.operators import folds
 from tapeloom.plans.catalog import query
+from tapeloom.sources import lake
 from tapeloom.sources import market as m
 
 r = rounded_sql
 _BARS = f"WITH {m.SQL}"
 SIZE, REVERSAL = 0.1, 3
+#: Columns from a chart's end in which a breakout is sought.
+WITHIN = 15
 
 
 @query(
@@ -53,19 +64,42 @@ def stroke_summary(spark, d, least: int = 10):
 
 
 # point and figure
+def _charts(spark, d, size: float, reversal: int, log: bool, of: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """(code, step, ...): what `of` makes of a chart's columns; a box is `size` of the price (log) or of the code's median price.
+
+    The median is of a code's highs and lows, so its rows are taken together and need no join with it."""
+    b = m.bars(spark, d).where("code IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL").select("code", "date", "open", "high", "low", "close")
+    schema = T.StructType([b.schema["code"], T.StructField("step", T.DoubleType()), *T.StructType.fromDDL(schema)])
+    kinds = to_arrow_schema(schema)
+
+    def made(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        out: list[tuple] = []
+        bounds = [*np.flatnonzero(starts).tolist(), t.num_rows]
+        codes, prices = t["code"].to_pylist(), [t[c].to_pylist() for c in ("open", "high", "low", "close")]
+        for x, e in zip(bounds, bounds[1:]):
+            own = [p[x:e] for p in prices]
+            both = np.sort(np.array(own[1] + own[2], float))  # an even number of them
+            width = float(both[e - x - 1] + both[e - x]) / 2 * size
+            chart, drawn = folds.PointFigure(reversal, log), []
+            step = math.log(1 + max(size, 1e-4)) if log else max(width, 0.01)
+            for row in zip(*own):
+                drawn += chart.add(step, *row)
+            drawn += chart.end()
+            out += [(codes[x], width if log else step, *y) for y in of(drawn)]
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(kinds), kinds)], schema=kinds)
+
+    return arrays.whole_codes(b, made, schema)
+
+
 def columns(spark, d, size: float = SIZE, reversal: int = REVERSAL, log: bool = True) -> DataFrame:
-    """(code, number, up, levels, step): columns of a chart; a box is `size` of the price (log) or of the code's median price."""
-    b = m.bars(spark, d).where("high IS NOT NULL AND low IS NOT NULL")
-    steps = b.select("code", F.explode(F.array("high", "low")).alias("p")).groupBy("code").agg((F.median("p") * size).alias("width"))
-    box = F.log(F.lit(1 + max(size, 1e-4))) if log else F.greatest("width", F.lit(0.01))
-    steps = steps.select("code", box.alias("step"), (F.col("width") if log else box).alias("width"))
-    drawn = folds.ordered_fold(b.join(steps, "code"), "code", ["date"], ["step", "open", "high", "low", "close"], lambda _: folds.PointFigure(reversal, log), "code bigint, number int, up boolean, levels array<double>")
-    return drawn.join(steps.select("code", F.col("width").alias("step")), "code")
+    """(code, step, number, up, levels): columns of a chart."""
+    return _charts(spark, d, size, reversal, log, lambda drawn: drawn, "number int, up boolean, levels array<double>")
 
 
-def _spans(spark, d) -> DataFrame:
-    c = columns(spark, d)
-    return c.select("code", "number", "up", "step", F.array_max("levels").alias("high"), F.array_min("levels").alias("low"), F.size("levels").alias("boxes"))
+def _spans(spark, d, last: int | None = None) -> DataFrame:
+    """Columns by their highest and lowest box; with `last`, each chart's last so many."""
+    of = lambda drawn: [(number, up, max(levels), min(levels), len(levels)) for number, up, levels in drawn[-last if last else None :]]
+    return _charts(spark, d, SIZE, REVERSAL, True, of, "number int, up boolean, high double, low double, boxes int")
 
 
 @query("e48_point_and_figure", None)
@@ -82,7 +116,7 @@ def congestion(spark, d):
     return found.select("code", "columns", *(rounded(F.col(c)).alias(c) for c in ("zone_low", "zone_high", "target")), "hint")
 
 
-def breakouts(spans: DataFrame, within: int = 15, apart: int = 3, late: int = 4) -> DataFrame:
+def breakouts(spans: DataFrame, within: int = WITHIN, apart: int = 3, late: int = 4) -> DataFrame:
     """(code, signal) from (code, number, high, low, step): of each code's last `within` columns, two of `apart` or more
     from each other with tops (or bottoms) within 0.3 boxes, and one of the last `late` columns two boxes beyond.
 
@@ -109,7 +143,7 @@ def breakouts(spans: DataFrame, within: int = 15, apart: int = 3, late: int = 4)
 @query("j23_breakouts", None)
 def chart_breakouts(spark, d):
     """Double tops and bottoms that the last columns of each code's chart break; tests hold it against all pairs."""
-    return breakouts(_spans(spark, d))
+    return breakouts(lake.written(_spans(spark, d, WITHIN), "spans"))
 
 
 # peaks

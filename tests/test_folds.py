@@ -246,3 +246,14 @@ def test_boxes_of_the_bars(spark):
         want = plain_boxes(own, math.log(1 + charts.SIZE), charts.REVERSAL, True)
         have = sorted(got[code])
         assert [(n, u) for n, _, u, _ in have] == [(n, u) for n, u, _ in want] and np.allclose([p for *_, p in have], [p for *_, p in want])
+
+
+def test_charts_take_a_code_once(spark):
+    """Boxes need no exchange and no join over the written bars; breakouts read only the charts' ends again."""
+    text = registry.queries()["e48_point_and_figure"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "Join" not in text
+    ends = {tuple(r) for r in charts._spans(spark, DATA, charts.WITHIN).collect()}
+    whole = charts._spans(spark, DATA).collect()
+    last = {c: max(r.number for r in whole if r.code == c) for c in {r.code for r in whole}}
+    assert ends == {tuple(r) for r in whole if r.number > last[r.code] - charts.WITHIN} and len(ends) < len(whole)
+    assert "MapInArrow" not in registry.queries()["j23_breakouts"](spark, DATA)._jdf.queryExecution().executedPlan().toString()

@@ -15,6 +15,7 @@ from tapeloom.functions.windows import over, rounded, rounded_sql
 from tapeloom.operators import frames as op
 from tapeloom.operators import matrix as mx
 from tapeloom.plans.catalog import query
+from tapeloom.sources import lake
 from tapeloom.sources import market as m
 
 r = rounded_sql
@@ -22,8 +23,8 @@ PANEL = ("f01_momentum_20d", "f03_volatility_20d", "f07_volume_ratio_5_20", "f11
 _PANEL_SQL = f"WITH {m.SQL}, {fx.ENRICHED_SQL}, p AS (SELECT code, date, {', '.join(f'{fx.FACTORS[c][1]} AS {c}' for c in PANEL)} FROM enriched)"
 
 
-def panel(spark, d) -> DataFrame:
-    return arrays.by_code(m.bars(spark, d), {c: arrays.FACTORS[c] for c in PANEL})
+def panel(spark, d, keep: tuple[str, ...] = ()) -> DataFrame:
+    return arrays.by_code(m.bars(spark, d), {c: arrays.FACTORS[c] for c in PANEL}, keep)
 
 
 def _z_sql(c: str) -> str:
@@ -79,8 +80,10 @@ def orthogonal_factors(spark, d):
 @query("c12_orthogonal_composite", None)
 def orthogonal_composite(spark, d):
     """The composite of the orthogonal factors, neutral to sector and size."""
-    scored = _weighted(mx.orthogonal(standardised(spark, d), "date", list(PANEL)), WEIGHTS)
-    sized = scored.join(m.securities(spark, d).select("code", "sector"), "code").join(m.bars(spark, d).select("code", "date", F.log("amount").alias("size")), ["code", "date"])
+    p = m.dealt_by_date(spark, d, panel(spark, d, keep=("amount",)).where("date IS NOT NULL"))
+    z = lake.written(p.select("code", "date", F.log("amount").alias("size"), *(op.zscore(c, "date").alias(c) for c in PANEL)), "scores")
+    scored = _weighted(mx.orthogonal(z, "date", list(PANEL)), WEIGHTS).select("code", "date", "size", "composite_score")
+    sized = m.dealt_by_date(spark, d, scored.join(m.securities(spark, d).select("code", "sector"), "code"))
     return residuals(sized.withColumn("w", F.lit(1.0)), "composite_score", "sector", "size", "w").select("code", "date", "composite_score", "residual")
 
 

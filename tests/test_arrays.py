@@ -34,7 +34,13 @@ def test_factors_of_odd_rows(spark, monkeypatch):
 
 def test_no_moving_frames_over_the_bars(spark):
     """All factors, regimes and panels read a code's rows once, without an exchange before."""
-    for name in ("c06_all_factors", "e03_trend_regime", "c12_orthogonal_composite"):
+    for name in ("c06_all_factors", "e03_trend_regime", "c11_orthogonal_factors"):
         text = registry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in text and "specifiedwindowframe(rowframe, -" not in text.lower()
     assert "Exchange" not in registry.queries()["c06_all_factors"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_composite_makes_its_panel_once(spark):
+    """Scores are written with the size; neither the panel is made again nor the bars joined."""
+    text = registry.queries()["c12_orthogonal_composite"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "bars_" not in text and "REPARTITION_BY_NUM" in text

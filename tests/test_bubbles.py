@@ -44,6 +44,32 @@ def test_noise_takes_few_designs(monkeypatch):
         assert row[7] ** 2 * 120 <= sse * (1 + 1e-9)
 
 
+def test_curvatures_are_those_of_what_is_left():
+    """Slopes and whole curvatures against differences, so that steps near a valley's floor are Newton's."""
+    rng = np.random.default_rng(6)
+    y = rng.normal(size=(5, 40))
+    y -= y.mean(axis=1, keepdims=True)
+    p = np.column_stack([39 + rng.uniform(5, 60, 5), rng.uniform(0.2, 0.8, 5), rng.uniform(6.5, 12.5, 5)])
+    left, slope, plain, whole = lp._projected(y, p)
+    assert np.allclose(left, lp.residual(y[:, None], p[:, None])[:, 0], rtol=1e-9)
+    for i, h in enumerate((1e-3, 1e-5, 1e-4)):
+        step = h * np.eye(3)[i]
+        (up, up_slope, *_), (down, down_slope, *_) = lp._projected(y, p + step), lp._projected(y, p - step)
+        assert np.allclose(slope[:, i], -(up - down) / (4 * h), rtol=1e-4, atol=1e-6)
+        assert np.allclose(whole[:, i], -(up_slope - down_slope) / (2 * h), rtol=1e-3, atol=1e-3 * np.abs(whole[:, i]).max())
+    assert (np.linalg.eigvalsh(plain) > -1e-9).all() and (np.linalg.eigvalsh(whole)[:, 0] < 0).any()
+
+
+def test_noise_takes_as_few_designs_as_newton_needs(monkeypatch):
+    seen, plain = [], lp._projected
+    monkeypatch.setattr(lp, "_projected", lambda y, p: (seen.append(len(p)), plain(y, p))[1])
+    for n in (60, 180):
+        seen.clear()
+        y = np.log(np.random.default_rng(7).uniform(900, 2000, size=(20, n)))
+        lp.fit(y)
+        assert sum(seen) <= 100 * len(y)
+
+
 def test_windows_and_their_fits(spark):
     closes = np.exp(planted(100, 20, 0.5, 8, 0.01))
     rows = [("a", int(i), float(c)) for i, c in enumerate(closes)] + [("b", i, 1.0) for i in range(30)] + [("a", 1000, 0.0)]

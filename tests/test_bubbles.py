@@ -70,6 +70,15 @@ def test_noise_takes_as_few_designs_as_newton_needs(monkeypatch):
         assert sum(seen) <= 100 * len(y)
 
 
+def test_windows_read_a_code_once(spark):
+    """A code's bars are gathered once and cut, not gathered again for each bar."""
+    bars = spark.createDataFrame([("a", i, 1.0 + i) for i in range(10)], "code string, date int, close double")
+    w = lp.windows(bars, [2, 4], step=3)
+    assert "Window" not in w._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.date, r.at, r.length, r.prices) for r in w.collect())
+    assert got == [(e, e + 1, n, [1.0 + i for i in range(e - n + 1, e + 1)]) for e in (3, 6, 9) for n in (2, 4)]
+
+
 def test_windows_and_their_fits(spark):
     closes = np.exp(planted(100, 20, 0.5, 8, 0.01))
     rows = [("a", int(i), float(c)) for i, c in enumerate(closes)] + [("b", i, 1.0) for i in range(30)] + [("a", 1000, 0.0)]
